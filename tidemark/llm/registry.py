@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op2_mixing
+from .packing import op9_packing
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op9_packing": op9_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_line_dedup": OP10_SQL,
+}
