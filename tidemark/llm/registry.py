@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op2_mixing
+from .near_dedup import OP5_SQL, op5_near_dedup
 from .packing import op9_packing
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op5_near_dedup": op5_near_dedup,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_near_dedup": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
 }
