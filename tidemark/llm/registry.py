@@ -6,8 +6,10 @@ from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op2_mixing
 from .near_dedup import OP5_SQL, op5_near_dedup
 from .packing import op9_packing
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op5_near_dedup": op5_near_dedup,
     "op9_packing": op9_packing,
