@@ -131,7 +131,7 @@ def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with ``__ld_keep``, null where every line stays."""
     maps = keep_bitmaps(docs, id_col, text_col, **options)
     on = F.col(id_col).cast("long").eqNullSafe(F.col("__ld_id")) & (F.xxhash64(text_col) == F.col("__ld_mark"))
-    return docs.join(maps, on, "left").select(*[docs[c] for c in docs.columns], "__ld_keep")
+    return docs.join(maps.hint("merge"), on, "left").select(*[docs[c] for c in docs.columns], "__ld_keep")
 
 
 def _kept(text: bytes | None, bitmap: bytes | None) -> tuple[int, int, bytes]:
