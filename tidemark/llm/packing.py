@@ -15,6 +15,8 @@ and checksum; an empty table gives no sequences; further columns are ignored.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 
 import numpy as np
@@ -28,8 +30,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Rests in a group, about.
 GROUP = 4096
-#: Words that the tokenizer's cache holds before it is emptied.
-CACHE = 200_000
+#: Words that a Python worker keeps the ids of, about 200 bytes each.
+CACHE = 800_000
 
 
 def default_tokenizer() -> str:
@@ -39,29 +41,51 @@ def default_tokenizer() -> str:
 
 
 class WordTokens:
-    """Ids of a text as little-endian unsigned 32-bit numbers.
+    """Ids of texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer's normaliser folds white space and its pre-tokenizer never
     joins across it, so the ids of a text are those of its words in a row.
+    Words are kept in two generations, so that frequent ones outlast the
+    flood of words that are seen once; a Python worker keeps them between tasks.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.size, self.known = Tokenizer.from_file(path), cache, {}
-
-    def __call__(self, text: bytes | None) -> bytes:
-        words = (text or b"").split()
-        known = self.known
-        if missing := list({w for w in words if w not in known}):
-            if len(known) + len(missing) > self.size:
-                known.clear()
-                missing = list(set(words))
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        # an executor's cores run tasks of their own; more threads only get in their way
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.size, self.known, self.older = Tokenizer.from_file(path), cache, {}, {}
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        texts = [(t or b"").split() for t in texts]
+        words = set()
+        for t in texts:
+            words.update(t)
+        missing = words - self.known.keys()
+        if len(self.known) + len(missing) > self.size // 2:
+            self.older, self.known, missing = self.known, {}, words
+        new = []
+        for w in missing:
+            if (ids := self.older.get(w)) is not None:
+                self.known[w] = ids
+            else:
+                new.append(w)
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                ids = e.ids
+                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        find = self.known.__getitem__
+        return [b"".join(map(find, t)) for t in texts]
+
+
+_tokens: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    if path not in _tokens:
+        _tokens[path] = WordTokens(path)
+    return _tokens[path]
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +119,12 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
-        tokens = WordTokens(path)
-        end = np.array([end_id], "<u4").tobytes()
+        tokens = word_tokens(path)
+        end = struct.pack("<I", end_id)
         for batch in batches:
             rows, start, length, crc, total = [], [], [], [], []
-            for r, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                ids = tokens(text) + end
+            for r, ids in enumerate(tokens(batch.column(1).cast(pa.binary()).to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     piece = ids[4 * s : 4 * (s + capacity)]
