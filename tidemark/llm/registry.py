@@ -11,11 +11,13 @@ from .nearest import OP8_SQL, op8_nearest_neighbours
 from .packing import op9_packing
 from .token_counts import op3_token_counts
 from .toxicity import op1_toxicity
+from .url_filter import op4_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
+    "op4_url_filter": op4_url_filter,
     "op5_near_dedup": op5_near_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_chat_formatting": op7_chat_formatting,
