@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,20 +143,25 @@ def _kept(text: bytes | None, bitmap: bytes | None) -> tuple[int, int, bytes]:
     return len(lines), int(len(lines) - keep.sum()), b"\n".join(x for x, k in zip(lines, keep, strict=True) if k)
 
 
-def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
     """``docs`` with the lines that go taken out of ``text_col``.
 
-    A text that loses nothing stays as it is, null included.
+    A text that loses nothing stays as it is, null included.  ``length_col``,
+    if there is one of this name, gets the new length of a text that changed.
     """
     marked = with_bitmaps(docs, id_col, text_col, **options)
     schema = docs.schema
     at, names = docs.columns.index(text_col), docs.columns
+    length = names.index(length_col) if length_col in names else None
 
     def run(batches):
         for batch in batches:
             arrays = [batch.column(i) for i in range(len(names))]
-            texts = [t if k is None else _kept(t, k)[2] for t, k in zip(arrays[at].cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            keep = batch.column(len(names))
+            texts = [t if k is None else _kept(t, k)[2] for t, k in zip(arrays[at].cast(pa.binary()).to_pylist(), keep.to_pylist(), strict=True)]
             arrays[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            if length is not None:
+                arrays[length] = pc.if_else(keep.is_null(), arrays[length], pc.utf8_length(arrays[at]).cast(arrays[length].type))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return marked.mapInArrow(run, schema)
