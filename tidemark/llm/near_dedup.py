@@ -18,12 +18,15 @@ Buckets never become groups in one task and never give all their pairs:
    seeded orders;
 2. pairs are verified on full shingle sets, in tasks of one hub and at most
    about ``CHUNK`` partners, and links are contracted to components;
-3. for the large buckets that still hold several components every pair across
-   components is settled, by proof or by verification.  Proof is by shingles
-   that nobody else in such a bucket has (no partner can share them) or by the
-   triangle inequality of the Jaccard distance through a hub.
+3. in the large buckets that still hold several components, documents with so
+   many shingles of their own that nobody can be similar to them leave; of the
+   others, every pair across components is compared, in blocks of at most
+   about ``BLOCK`` by ``BLOCK`` documents, whose intersections are products of
+   0-1 matrices; only links come out.
 
 So every candidate pair is decided, except where its ends are linked already.
+The cost of step 3 grows with the unlinked members of a large bucket times its
+members, in tasks of bounded size; no row is dropped or capped.
 
 Defined results: null or empty texts and texts of white space have no
 shingles and are linked with nothing; texts of fewer than five words have one
@@ -49,6 +52,7 @@ BANDS = 32
 SMALL = 8
 HUBS = 4
 CHUNK = 64
+BLOCK = 128
 #: Bytes of texts that are hashed together.
 STRETCH = 1 << 20
 
@@ -260,50 +264,87 @@ def components(edges: DataFrame) -> DataFrame:
     return found if found is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def _open_pairs(large: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(hub, id) of large buckets, across components, that neither proof nor an earlier check settles."""
+def _open_links(large: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) across components between members of large buckets that hold several components."""
     inside = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    inside = materialize(inside.join(mixed, "bucket"), "open")
+    inside = materialize(_several(inside), "open")
     if inside.isEmpty():
-        return inside.select(F.col("id").alias("hub"), "id")
+        return inside.select(F.col("id").alias("a"), F.col("id").alias("b"))
     # a document that has too many shingles of its own is linked with nothing
     ids = inside.select("id").distinct()
-    sets = texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_exploded, "id long, shingle long")
-    sets = materialize(sets, "open_shingles")
-    common = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("id"))
+    sets = materialize(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "open_sets")
+    common = sets.mapInArrow(_exploded, "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("id"))
     own = common.where("docs = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    sizes = sets.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    able = sizes.join(own, "id", "left").where(F.col("n") - F.coalesce("own", F.lit(0)) >= F.col("n") * threshold).select("id", "n")
-    inside = inside.join(able, "id")
-    # exact distances to the bucket's hubs
-    hubs = inside.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)), F.col("id"))).alias(f"h{k}") for k in range(HUBS)])
-    inside = inside.join(hubs.select("bucket", *[F.col(f"h{k}.id").alias(f"h{k}") for k in range(HUBS)]), "bucket")
-    known = checked.select("hub", "id", "distance").unionByName(checked.select(F.col("id").alias("hub"), F.col("hub").alias("id"), "distance")).distinct()
-    for k in range(HUBS):
-        to_hub = known.select(F.col("hub").alias(f"h{k}"), "id", F.col("distance").alias(f"d{k}"))
-        inside = inside.join(to_hub, [f"h{k}", "id"], "left").withColumn(f"d{k}", F.when(F.col(f"h{k}") == F.col("id"), F.lit(0.0)).otherwise(F.col(f"d{k}")))
-    counts = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    most = counts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
-    inside = materialize(inside.join(most, "bucket"), "settling")
-    x = inside.where("component <> main").alias("x")
-    y = inside.alias("y")
-    slack = 1 - threshold + 1e-9
-    near = [F.coalesce(F.abs(F.col(f"x.d{k}") - F.col(f"y.d{k}")) <= slack, F.lit(True)) for k in range(HUBS)]
-    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
-    on &= (F.col("x.n") >= F.col("y.n") * (threshold - 1e-9)) & (F.col("y.n") >= F.col("x.n") * (threshold - 1e-9))
-    for c in near:
-        on &= c
-    pairs = x.join(y, on).select(F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id")).distinct()
-    seen = known.select("hub", "id")
-    return pairs.join(seen, ["hub", "id"], "left_anti")
+    size = F.octet_length("shingles") / 8
+    able = sets.join(own, "id", "left").where(size - F.coalesce("own", F.lit(0)) >= size * threshold - 1e-9).select("id")
+    inside = materialize(_several(inside.join(able, "id")), "able")
+    if inside.isEmpty():
+        return inside.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    # buckets that share members are compared once, as one cluster
+    least = inside.groupBy("bucket").agg(F.min("id").alias("b"))
+    clusters = components(inside.join(least, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    docs = inside.select("id", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id")
+    docs = materialize(docs, "clusters")
+    counts = docs.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = counts.groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("n"))
+    sizes = sizes.select("cluster", F.col("m.component").alias("main"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).alias("lefts"), F.ceil(F.col("n") / BLOCK).alias("rights"))
+    docs = docs.join(sizes, "cluster")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    left = docs.where("component <> main").select("cluster", F.pmod(F.xxhash64("id"), "lefts").alias("left"), F.explode(upto("rights")).alias("right"), "id", "component", F.lit(True).alias("is_left"))
+    right = docs.where("lefts > 0").select("cluster", F.explode(upto("lefts")).alias("left"), F.pmod(F.xxhash64("id", F.lit(1)), "rights").alias("right"), "id", "component", F.lit(False).alias("is_left"))
+    asked = left.unionByName(right).join(sets, "id")
+    return asked.groupBy("cluster", "left", "right").applyInArrow(_block_links(threshold), "a long, b long").distinct()
+
+
+def _several(inside: DataFrame) -> DataFrame:
+    """Rows of buckets with several components."""
+    mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    return inside.select("bucket", "id", "component").join(mixed, "bucket")
+
+
+def _block_links(threshold: float):
+    """Links across components between the left and the right documents of a block, one for each left document and other component.
+
+    Intersections are products of 0-1 matrices over the shingles that both
+    sides have, a bounded number of shingles at a time.
+    """
+
+    def run(group):
+        left = np.array(group.column("is_left").to_pylist(), bool)
+        ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+        sides = [np.flatnonzero(left), np.flatnonzero(~left)]
+        links = []
+        if len(sides[0]) and len(sides[1]):
+            words = np.intersect1d(*(np.unique(np.concatenate([sets[r] for r in side])) for side in sides))
+            both = np.zeros((len(sides[0]), len(sides[1])))
+            for at in range(0, len(words), 1 << 14):
+                part = words[at : at + (1 << 14)]
+                flags = []
+                for side in sides:
+                    m = np.zeros((len(side), len(part)), np.float32)
+                    for k, r in enumerate(side):
+                        s = sets[r][np.searchsorted(sets[r], part[0]) : np.searchsorted(sets[r], part[-1], "right")]
+                        place = np.searchsorted(part, s)
+                        m[k, place[part[place] == s]] = 1
+                    flags.append(m)
+                both += flags[0] @ flags[1].T
+            n = np.array([len(s) for s in sets])
+            linked = both >= threshold * (n[sides[0]][:, None] + n[sides[1]][None, :] - both) - 1e-9
+            for x, y in np.argwhere(linked & (component[sides[0]][:, None] != component[sides[1]][None, :])):
+                links.append((ids[sides[0][x]], ids[sides[1][y]], component[sides[1][y]]))
+        first = {(a, c): b for a, b, c in reversed(links)}
+        a, b = [min(x, y) for (x, _), y in first.items()], [max(x, y) for (x, _), y in first.items()]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _exploded(batches):
     for batch in batches:
-        ids = batch.column(0)
-        for r, h in enumerate(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())):
-            yield pa.RecordBatch.from_arrays([pa.repeat(ids[r], len(h)), pa.array(h.view(np.int64))], names=["id", "shingle"])
+        sets = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+        ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["id", "shingle"])
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS) -> DataFrame:
@@ -326,18 +367,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     paired = small.join(small.select("bucket", F.col("id").alias("hub")), "bucket").where("hub < id").select("hub", "id")
     pairs = starred.unionByName(paired).select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).distinct()
 
-    def settled(pairs):
-        out = verify(pairs, texts)
-        out = out.withColumn("linked", F.col("both") >= F.lit(threshold) * (F.col("n") + F.col("n_hub") - F.col("both")) - 1e-9)
-        return materialize(out.withColumn("distance", 1 - F.col("both") / (F.col("n") + F.col("n_hub") - F.col("both"))), "verified")
-
-    checked = settled(pairs)
-    links = checked.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    checked = verify(pairs, texts)
+    links = checked.where(F.col("both") >= F.lit(threshold) * (F.col("n") + F.col("n_hub") - F.col("both")) - 1e-9)
+    links = materialize(links.select(F.col("hub").alias("a"), F.col("id").alias("b")), "links")
     labels = components(links)
     large = inside.where(F.col("size") > SMALL).select("bucket", "id")
-    rest = materialize(_open_pairs(large, labels, checked, texts, threshold), "open_pairs")
-    if not rest.isEmpty():
-        more = settled(rest).where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    more = materialize(_open_links(large, labels, texts, threshold), "more_links")
+    if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = reps.select("key", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select(F.col("key"), F.coalesce("component", "rep").alias("component_id"))
