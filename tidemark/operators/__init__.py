@@ -1 +1 @@
-
+"""Operators on views, each a composition of DataFrame operations."""
