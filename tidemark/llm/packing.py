@@ -31,7 +31,7 @@ END_ID = 1
 #: Rests in a group, about.
 GROUP = 4096
 #: Words that a Python worker keeps the ids of, about 200 bytes each.
-CACHE = 800_000
+CACHE = 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -55,6 +55,13 @@ class WordTokens:
         # an executor's cores run tasks of their own; more threads only get in their way
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.size, self.known, self.older = Tokenizer.from_file(path), cache, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.tail: dict[bytes, bytes] = {}
+        marks = [b".", b",", b";", b":", b"!", b"?"]
+        self.learn(marks)
+        self.tail = {m: self.known[m] for m in marks}
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         texts = [(t or b"").split() for t in texts]
@@ -64,21 +71,56 @@ class WordTokens:
         missing = words - self.known.keys()
         if len(self.known) + len(missing) > self.size // 2:
             self.older, self.known, missing = self.known, {}, words
-        new = []
+        simple, new = {}, set()
         for w in missing:
             if (ids := self.older.get(w)) is not None:
                 self.known[w] = ids
-            else:
-                new.append(w)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                continue
+            core = simple[w] = self.core(w)
+            if core not in self.known:
+                if (ids := self.older.get(core)) is not None:
+                    self.known[core] = ids
+                else:
+                    new.add(core)
+        self.learn(list(new))
+        for w, core in simple.items():
+            if w != core:
+                self.known[w] = self.known[core] + (self.tail[w[-1:]] if len(w) > len(core) else b"")
         find = self.known.__getitem__
         return [b"".join(map(find, t)) for t in texts]
 
 
+    def core(self, word: bytes) -> bytes:
+        """What is left to tokenize of a word: the tokenizer lower-cases letters itself, and a mark after letters is a token apart."""
+        if b"<" in word:
+            return word  # perhaps a special token, which is matched before lower-casing
+        low = word.lower()
+        if low[-1:] in self.tail and low[:-1].decode("utf-8", "replace").lower().isalpha():
+            return low[:-1]
+        return low
+
+    def learn(self, words: list[bytes]) -> None:
+        """Words of letters only are tokenized many in one text, and their ids parted where a token ends a word."""
+        words = [(w, w.decode("utf-8", "replace")) for w in words]
+        plain = [x for x in words if x[1].isalpha()]
+        other = [x for x in words if not x[1].isalpha()]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in part]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):  # a word that lower-casing takes apart
+                other += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for (w, _), end in zip(part, (4 * ends).tolist(), strict=True):
+                self.known[w] = raw[at:end]
+                at = end
+        for i in range(0, len(other), 4096):
+            part = other[i : i + 4096]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+
 _tokens: dict[str, WordTokens] = {}
 
 
