@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WHITE = r"\p{IsWhite_Space}"
 
@@ -17,7 +18,7 @@ def upper(x: Column) -> Column:
     return F.upper(x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(s: pd.Series) -> pd.Series:
     return s.str.casefold()
 

@@ -14,6 +14,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 
 def _number_key(x: Decimal) -> bytes:
@@ -43,7 +44,7 @@ def json_bytes(value) -> bytes:
     return b"\x06" + b"".join(b"\x01" + _text_key(k) + json_bytes(value[k]) for k in sorted(value)) + b"\x00"
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _json_key(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else json_bytes(json.loads(t, parse_float=Decimal)))
 
@@ -64,7 +65,7 @@ def _plain(x):
     return x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _json_text(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else json.dumps(_plain(json.loads(t, parse_float=Decimal)), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 

@@ -45,7 +45,7 @@ def _cases(fields: list[str]) -> dict[str, Column]:
         "competing": ~b & l & i & ~_row("l", fields).eqNullSafe(_row("i", fields)),
         "deleted_here": b & ~l & i & ~i_same,
         "deleted_there": b & l & ~i & ~l_same,
-        "gone": b & ((~l & (~i | i_same)) | (~i & l_same)),
+        "gone": b & (~l | (~i & l_same)),
     }
 
 
@@ -74,4 +74,4 @@ def merged(base: DataFrame, local: DataFrame, incoming: DataFrame, key: list[str
         b, l, i = (F.col(f"__{s}_{f}") for s in "bli")
         both = F.when(l.eqNullSafe(b), i).otherwise(l)
         values.append(F.when(c["b"] & c["l"] & c["i"], both).when(c["l"], l).otherwise(i).alias(f))
-    return df.where(~c["gone"] & (c["l"] | c["i"]) & ~(c["b"] & ~c["l"] & ~c["i"])).select(*key, *values)
+    return df.where(~c["gone"]).select(*key, *values)
