@@ -100,7 +100,7 @@ def composite_key_select(spark, d):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
 def filter_bind(spark, d):
-    return select.where(coll(spark, d, "customer"), logic.all_of(c("c_acctbal") > 5000, c("c_mktsegment") == "BUILDING")).rows().select("c_custkey", "c_name")
+    return select.where(coll(spark, d, "customer"), c("c_acctbal") > 5000, c("c_mktsegment") == "BUILDING").rows().select("c_custkey", "c_name")
 
 
 BALANCE = "CASE WHEN c_acctbal > 0 THEN c_acctbal END"

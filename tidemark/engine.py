@@ -520,7 +520,7 @@ class _Run:
         cur = c.root.cur.columns
         new = v.col
         if of_set:
-            new = (F.array_union if of_set == "+" else F.array_except)(cur[name].col, v.col if v.kind == "set" else F.array(v.col))
+            new = F.array_sort((F.array_union if of_set == "+" else F.array_except)(cur[name].col, v.col if v.kind == "set" else F.array(v.col)))
         f = self.model.root.fields[name]
         df = ctx.df.select(*[(new.cast(f.type) if n == name else cur[n].col).alias(n) for n in self.model.root.stored()])
         self.put((), df)

@@ -7,15 +7,19 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.logic import true
 from ..plans.view import StaticError, View
 
 
-def where(view: View, condition: Column | Callable[[DataFrame], Column]) -> View:
-    """Rows for which the condition is true; none is not."""
+def where(view: View, *conditions: Column | Callable[[DataFrame], Column]) -> View:
+    """Rows for which all conditions are true; none is not.
+
+    A filter drops none by itself, so conditions stay bare and reach the scan.
+    """
     view = view.bounded()
-    condition = condition(view.df) if callable(condition) and not isinstance(condition, Column) else condition
-    return view.on(view.df.where(true(condition)))
+    df = view.df
+    for x in conditions:
+        df = df.where(x if isinstance(x, Column) else x(view.df))
+    return view.on(df)
 
 
 def empty(view: View) -> View:

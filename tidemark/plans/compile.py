@@ -327,14 +327,16 @@ class Compiler:
             inside.cur = ctx.cur
             was, ctx.touched = ctx.touched, False
             inside.fallback = base.cur
-            test = self.boolean(self.scalar(condition, inside))
+            plain: list[Column] = []
+            for part in _conjuncts(condition):
+                # what reads the row outside becomes a join condition, the rest a filter under the join
+                before, ctx.touched = ctx.touched, False
+                test = self.boolean(self.scalar(part, inside))
+                (base.outside if ctx.touched else plain).append(test)
+                ctx.touched = before or ctx.touched
             base.df = inside.df
-            if ctx.touched and ctx is not self.top:
-                base.outside.append(test)
-            elif ctx.touched:
-                base.outside.append(test)
-            else:
-                base.df = base.df.where(logic.true(test))
+            for test in plain:
+                base.df = base.df.where(test)
             ctx.touched = was or ctx.touched
             return base
         return self.by_keys(self.now_if_temporal(base), sel.args, ctx)
@@ -898,8 +900,9 @@ class Compiler:
             self.same_kind(x, y)
             f = {"==": logic.eq, "!=": logic.ne, "<": logic.lt, "<=": logic.le, ">": logic.gt, ">=": logic.ge}[mark]
             p, q = self.ordered(x, y, mark)
-            if mark in ("==",) and not (x.optional or y.optional):
-                return Val(p == q, "bool")
+            if not (x.optional or y.optional) and "none" not in (x.kind, y.kind):
+                # neither side is ever none: the bare comparison reaches the scan
+                f = {"==": Column.__eq__, "!=": Column.__ne__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}[mark]
             return Val(f(p, q), "bool")
         return self.arithmetic(mark, x, y)
 
@@ -1050,6 +1053,21 @@ class Compiler:
             raise StaticError(f"{v.kind} does not select from {shape.relation}")
 
 
+def _conjuncts(node: Node) -> list[Node]:
+    """The parts of a condition, unless one may fail where an earlier one does not hold."""
+    if node.op == "group":
+        return _conjuncts(node[0])
+    if node.op == "binary" and node[0] == "&&" and not _may_fail(node):
+        return _conjuncts(node[1]) + _conjuncts(node[2])
+    return [node]
+
+
+def _may_fail(node) -> bool:
+    if isinstance(node, Node):
+        return node.op == "call" or (node.op == "binary" and node[0] in "/%") or any(_may_fail(a) for a in node.args)
+    return isinstance(node, tuple) and any(_may_fail(a) for a in node)
+
+
 def _days(period: Column, unit: str, times_: int) -> Column:
     return F.regexp_extract(period, rf"^P(\d+){unit}$", 1).try_cast("long") * times_
 
