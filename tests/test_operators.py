@@ -217,3 +217,30 @@ def test_windows(spark):
     assert keys(windows.centred(view, anchor, 4)) == order[max(0, i - 2) :][:4]
     gone = view.on(view.df.where("k <> 5"))
     assert keys(windows.anchored(gone, anchor, 2)) == [k for k in order if k != 5][i : i + 2]
+
+
+def test_every_level_funds_a_spend(spark):
+    t = datetime(2026, 1, 1)
+    spends = spark.createDataFrame([("o", "a", 1, t, Decimal(60)), ("o", "b", 2, t, Decimal(60)), ("o", "a", 3, t, Decimal(30))], "org string, acc string, spend_id int, at timestamp, amount decimal(18,2)")
+    schema = "%s string, pool_id string, quantity decimal(18,2), active_from timestamp, active_until timestamp, place int"
+    orgs = spark.createDataFrame([("o", "po", Decimal(100), t, None, 0)], schema % "org")
+    accounts = spark.createDataFrame([("a", "pa", Decimal(70), t, None, 0), ("b", "pb", Decimal(90), t, None, 0)], schema % "acc")
+    funding, refused = meters.fund_levels(spends, [("org", orgs), ("acc", accounts)])
+    assert sorted(r["spend_id"] for r in refused.collect()) == [2, 3]
+    assert sorted((r["level"], r["holder"], r["spend_id"]) for r in funding.collect()) == [("acc", "a", 1), ("org", "o", 1)]
+    pairs = meters.eligible(spends.withColumnRenamed("acc", "k"), accounts.withColumnRenamed("acc", "k"), ["k"], F.col("quantity") > 80)
+    assert [(r["k"], r["pool_id"]) for r in pairs.collect()] == [("b", "pb")]
+
+
+def test_access(spark, items):
+    from tidemark.operators import access
+
+    grants = collection(spark.createDataFrame([("ann", "x"), ("bo", "y")], "account string, scope string"), ["account"], "grants")
+    access.authorise(grants, "ann")
+    with pytest.raises(access.Denied):
+        access.authorise(grants, "cy")
+    assert ids(access.visible(items, grants, "tag", "ann")) == ["a", "b"]
+    assert access.closed_arguments({"a": ..., "b": 2}, {"a": 1}) == {"a": 1, "b": 2}
+    for bad in ({}, {"a": 1, "z": 2}):
+        with pytest.raises(TypeError):
+            access.closed_arguments({"a": ..., "b": 2}, bad)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.host import Registry
 from .functions.logic import true
 from .operators import changes, constraints, deletion
 from .operators.constraints import Rejection
@@ -92,18 +93,18 @@ class Result:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, model: Model, frames: dict[tuple, DataFrame], now: datetime):
-        self.spark, self.model, self.now = spark, model, now
+    def __init__(self, spark: SparkSession, model: Model, frames: dict[tuple, DataFrame], now: datetime, hosts: Registry | None = None):
+        self.spark, self.model, self.now, self.hosts = spark, model, now, hosts or Registry()
         self.history: list[dict[tuple, DataFrame]] = [frames]
 
     @classmethod
-    def load(cls, spark: SparkSession, package: str | Mapping, now: datetime = datetime(2026, 1, 1, tzinfo=UTC), tables: Mapping[str, DataFrame] | None = None) -> Engine:
-        """Checks a package and loads its seed; ``tables`` gives root collections' rows as frames instead."""
+    def load(cls, spark: SparkSession, package: str | Mapping, now: datetime = datetime(2026, 1, 1, tzinfo=UTC), tables: Mapping[str, DataFrame] | None = None, hosts: Registry | None = None) -> Engine:
+        """Checks a package and loads its seed; ``tables`` gives root collections' rows as frames instead, ``hosts`` adds functions."""
         package = read(package) if isinstance(package, str) else package
         model = Model(package)
         frames = {s.path: spark.createDataFrame([], s.schema()) for s in model.shapes() if s.path}
         frames[()] = spark.createDataFrame([tuple(None for _ in model.root.stored())], model.root.schema()) if model.root.stored() else spark.range(1).select(F.lit(1).alias("__root"))
-        engine = cls(spark, model, frames, now)
+        engine = cls(spark, model, frames, now, hosts)
         engine.check_static()
         state = dict(frames)
         for name, df in (tables or {}).items():
@@ -128,11 +129,20 @@ class Engine:
 
     def at(self, seq: int) -> Engine:
         """The state after an earlier position."""
-        out = Engine(self.spark, self.model, self.history[seq], self.now)
-        return out
+        return Engine(self.spark, self.model, self.history[seq], self.now, self.hosts)
+
+    def advance(self, duration: str) -> None:
+        """Moves the clock; what was active before may be so no more."""
+        from .functions.times import duration as micros
+
+        self.now = self.now + _micros(micros(duration))
+
+    def manifest(self) -> dict[str, Any]:
+        """What the package offers: views with their parameters, calls, the head position."""
+        return {"views": {n: {p: f.kind + "?" * f.optional for p, f in self.model.params.get(n, {}).items()} for n in self.model.public}, "calls": sorted(self.model.calls), "head": self.head}
 
-    def compiler(self, frames: Mapping[tuple, DataFrame], params: Mapping[str, Val] | None = None) -> Compiler:
-        return Compiler(self.model, frames, params or {}, F.lit(self.now).cast("timestamp"), self.model.rounding)
+    def compiler(self, frames: Mapping[tuple, DataFrame], params: Mapping[str, Val] | None = None, position: str = "view") -> Compiler:
+        return Compiler(self.model, frames, params or {}, F.lit(self.now).cast("timestamp"), self.model.rounding, self.hosts, position)
 
     def check_static(self) -> None:
         """Compiles all public views once, so that what is wrong with them is known before any row is read."""
@@ -248,7 +258,7 @@ class Engine:
 
     def complete(self, state: Mapping[tuple, DataFrame], shape: Shape, new: DataFrame, supplied: list[set[str]]) -> DataFrame:
         """Defaults for fields that no row supplied, in the order in which they read each other, then normalisation."""
-        c = self.compiler({**state, shape.path: new} if shape.path else {**state, (): new})
+        c = self.compiler({**state, shape.path: new} if shape.path else {**state, (): new}, position="default")
         everywhere = set.intersection(*supplied) if supplied else set()
         columns = {f.name: Val(F.col(f.name), shape.fields[f.name].kind if f.name in shape.fields else "text", True) for f in shape.schema()}
         for n, f in shape.fields.items():
@@ -328,7 +338,7 @@ class _Run:
         self.state, self.touched, self.locals, self.checked = dict(self.before), set(), {}, True
 
     def compiler(self) -> Compiler:
-        c = self.engine.compiler(self.state, self.params)
+        c = self.engine.compiler(self.state, self.params, "mutation")
         for name, (shape, key) in self.locals.items():
             rel = c.scan(shape)
             own = rel.ids[-len(shape.key) :]
@@ -506,12 +516,30 @@ class _Run:
     def assign(self, target: Node, value: Node, of_set: str | None = None) -> None:
         if target.op == "name" and of_set is None and value.op != "none":
             return self.bare(value, local=target[0])
+        if target.op == "current" and target[0] in self.model.root.children:
+            return self.replace_rows(self.model.root.children[target[0]], value)
         if target.op == "current" and target[0] in self.model.root.fields:
             return self.update_root(target[0], value, of_set)
         if target.op == "member":
             return self.patch(target[0], (Node("set", (target[1], value)),), of_set)
         raise StaticError(f"nothing to assign to: {target.op}")
 
+    def replace_rows(self, shape: Shape, value: Node) -> None:
+        """A collection becomes the rows of a view; nested rows of keys that stay, stay."""
+        c = self.compiler()
+        rel = c.closed(c.whole(c.view(value, c.top)), c.top)
+        outs = dict(rel.outs)
+        if unknown := set(outs) - set(shape.stored()):
+            raise StaticError(f"unknown field {sorted(unknown)[0]}")
+        new = rel.df.select(*[(F.col(outs[f.name]) if f.name in outs else F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.schema()])
+        new = materialize(self.engine.complete(self.state, shape, new, [set(outs)]), "rows")
+        for s in self.model.shapes():
+            if s.path[: len(shape.path)] == shape.path and s is not shape:
+                keys = new.select(*[F.col(k).alias(shape.column(k)) for k in shape.key])
+                self.put(s.path, self.state[s.path].join(keys, keys.columns, "left_semi").select(*self.state[s.path].columns))
+        self.put(shape.path, new)
+        self.settle()
+
     def update_root(self, name: str, value: Node, of_set: str | None) -> None:
         c = self.compiler()
         ctx = Ctx(c.top.df, c.top.cur, {}, [])

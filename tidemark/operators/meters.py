@@ -37,11 +37,20 @@ def fund(spends: DataFrame, pools: DataFrame, by: str) -> DataFrame:
     ``spends`` has (by, spend_id, at, amount), ``pools`` (by, pool_id, quantity,
     active_from, active_until, place): a pool serves while it is active, the
     least place first, then the id.  A spend that pools cannot cover is rejected
-    and takes nothing.  Keys are folded apart from one another; one key's
-    spends are sequential by what they mean.
+    and takes nothing.  Keys are folded apart from one another, many in a task
+    call; one key's spends are sequential by what they mean.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        # a side without rows comes without columns
+        pools_of = dict(list(right.groupby(by))) if len(right) else {}
+        none = pd.DataFrame(columns=["place", "pool_id", "quantity"])
+        out = []
+        for key, mine in left.groupby(by) if len(left) else ():
+            out += one(mine, pools_of.get(key, none))
+        return pd.DataFrame(out, columns=[by, "spend_id", "pool_id", "amount", "admitted"])
+
+    def one(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
         pool = right.sort_values(["place", "pool_id"], na_position="last").to_dict("records")
         rest = [Decimal(p["quantity"]) for p in pool]
         out = []
@@ -58,12 +67,29 @@ def fund(spends: DataFrame, pools: DataFrame, by: str) -> DataFrame:
             for i, take in takes:
                 rest[i] -= take
                 out.append((getattr(s, by), s.spend_id, pool[i]["pool_id"], take, True))
-        return pd.DataFrame(out, columns=[by, "spend_id", "pool_id", "amount", "admitted"])
+        return out
 
     kind = spends.schema[by].dataType.simpleString()
     spend_id, pool_id = (d.schema[c].dataType.simpleString() for d, c in ((spends, "spend_id"), (pools, "pool_id")))
     schema = f"{by} {kind}, spend_id {spend_id}, pool_id {pool_id}, amount decimal(18,2), admitted boolean"
-    return spends.groupBy(by).cogroup(pools.groupBy(by)).applyInPandas(run, schema)
+    # a few calls for each shuffle partition: a call costs more than a small key's fold
+    calls = 4 * int(spends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spends, pools = (df.where(F.col(by).isNotNull()).withColumn("__call", F.pmod(F.xxhash64(by), F.lit(calls))) for df in (spends, pools))
+    return spends.groupBy("__call").cogroup(pools.groupBy("__call")).applyInPandas(run, schema)
+
+
+def fund_levels(spends: DataFrame, levels: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Funds spends at every ancestor level that has pools: (funding with ``level``, ids of spends that a level cannot cover).
+
+    ``levels`` lists (key column of ``spends``, pools); a spend that one level
+    rejects is rejected as a whole.
+    """
+    funded = [fund(spends, pools, by).select(F.lit(by).alias("level"), F.col(by).cast("string").alias("holder"), "spend_id", "pool_id", "amount", "admitted") for by, pools in levels]
+    every = funded[0]
+    for df in funded[1:]:
+        every = every.unionByName(df)
+    refused = every.where("NOT admitted").select("spend_id").distinct()
+    return every.where("admitted").join(refused, "spend_id", "left_anti").drop("admitted"), refused
 
 
 def held(funding: DataFrame, by: list[str]) -> DataFrame:

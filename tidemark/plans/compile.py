@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arith, logic, text, times
 from ..functions.arith import avg_of, distinct_of, sum_of
+from ..functions.host import HostError, Registry
 from ..functions.order import asc, desc
 from .language import Node
 from .model import SCALARS, Field, Model, Shape
@@ -90,8 +91,9 @@ class Ctx:
 
 
 class Compiler:
-    def __init__(self, model: Model, frames: Mapping[tuple, DataFrame], params: Mapping[str, Val], now: Column, rounding: str = "half_up"):
+    def __init__(self, model: Model, frames: Mapping[tuple, DataFrame], params: Mapping[str, Val], now: Column, rounding: str = "half_up", hosts: Registry | None = None, position: str = "view"):
         self.model, self.frames, self.params, self.now, self.rounding = model, frames, dict(params), now, rounding
+        self.hosts, self.position = hosts or Registry(), position
         self.locals: dict[str, Rel] = {}
         self.computing: list[tuple] = []
         root = self.scan(model.root)
@@ -982,7 +984,22 @@ class Compiler:
             "base64.decode": (text.base64_decode, "bytes"),
             "hex.encode": (text.hex_encode, "text"),
             "hex.decode": (text.hex_decode, "bytes"),
+            "sha.sha256": (lambda x: text.digest(x, 256), "text"),
+            "sha.sha512": (lambda x: text.digest(x, 512), "text"),
+            "convert.text": (lambda x: x.cast("string"), "text"),
+            "convert.int": (lambda x: x.cast("long"), "int"),
+            "convert.decimal": (lambda x: x.cast(SCALARS["decimal"]), "decimal"),
+            "time.date": (lambda x: x.cast("date"), "date"),
+            "time.micros": (F.unix_micros, "int"),
         }
+        if name is not None and name in self.hosts.functions:
+            values = [self.scalar(a, ctx) for a in args]
+            kinds = {"StringType": "text", "LongType": "int", "BooleanType": "bool", "DecimalType": "decimal", "TimestampType": "timestamp", "BinaryType": "bytes", "DateType": "date"}
+            try:
+                col = self.hosts.call(name, [(v.col, v.kind) for v in values], self.position)
+            except HostError as e:
+                raise StaticError(str(e)) from e
+            return Val(col, kinds.get(type(self.hosts.functions[name].result).__name__, "text"), True)
         if name not in functions:
             raise StaticError(f"unknown function {name}")
         f, kind = functions[name]
