@@ -1051,3 +1051,163 @@ def stream_tumbling(spark, d):
     last = spark.read.parquet(path)
     last = last.join(F.broadcast(last.agg(F.max("batch").alias("batch"))), "batch", "left_semi")
     return last.select(F.unix_micros("window.start").alias("start"), "event_type", "n")
+
+
+# the text language over stored tables
+
+MODEL = {
+    "nation": {"$key": "n_nationkey", "n_nationkey": "int", "n_name": "text", "n_regionkey": "int"},
+    "customer": {"$key": "c_custkey", "c_custkey": "int", "c_name": "text", "c_nationkey": {"$ref": "/nation"}, "c_acctbal": "decimal", "c_mktsegment": "text", "orders_count": "= count(/orders[:o | o.o_custkey == .c_custkey])"},
+    "orders": {"$key": "o_orderkey", "o_orderkey": "int", "o_custkey": {"$ref": "/customer"}, "o_orderstatus": "text", "o_totalprice": "decimal", "o_orderpriority": {"$enum": list(LABELS)}},
+}
+
+
+def _text(spark, d, view: str, **params) -> DataFrame:
+    """A view of the text language; references of stored tables are taken as sound, so nothing is validated here."""
+    from datetime import UTC, datetime
+
+    from .engine import Engine
+    from .plans.model import Model
+
+    model = Model({"$model": {**MODEL, "$public": {"v": {"$view": view, "$params": params}}}})
+    frames = {(): spark.range(1).select(F.lit(1).alias("__root"))}
+    for name in ("nation", "customer", "orders"):
+        shape = model.find((name,))
+        frames[shape.path] = table(spark, d, name).select(*[c(f.name).cast(f.dataType) for f in shape.schema()])
+    return Engine(spark, model, frames, datetime(2026, 1, 1, tzinfo=UTC)).frame("v")
+
+
+@query("SELECT o_orderstatus, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2) AS total FROM orders WHERE o_totalprice > 1000 GROUP BY 1", exact="total")
+def text_view_group(spark, d):
+    return _text(spark, d, ".orders[:o | o.o_totalprice > 1000] { $key: o_orderstatus, o_orderstatus, n: count(group), total: sum(group.o_totalprice) }")
+
+
+@query("SELECT o_orderkey, c_name AS name, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'")
+def text_view_deref(spark, d):
+    return _text(spark, d, ".orders[:o | o.o_orderstatus == 'F'] { o_orderkey, name: /customer[.o_custkey].c_name, nation: /nation[/customer[.o_custkey].c_nationkey].n_name }")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY 1")
+def text_view_correlated(spark, d):
+    return _text(spark, d, ".customer { c_custkey, n: count(/orders[:o | o.o_custkey == .c_custkey && o.o_totalprice > 200000]) }")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")
+def text_view_computed_top(spark, d):
+    return _text(spark, d, ".customer { c_custkey, n: orders_count, $sort: [-n], $limit: 20 }")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 OR c_mktsegment = 'BUILDING'")
+def text_view_union(spark, d):
+    return _text(spark, d, ".customer[:x | x.c_acctbal > 5000] { c_custkey } | .customer[:y | y.c_mktsegment == 'BUILDING'] { c_custkey }")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_mktsegment <> 'BUILDING'")
+def text_view_difference(spark, d):
+    return _text(spark, d, ".customer[:x | x.c_acctbal > 5000] { c_custkey } - .customer[:y | y.c_mktsegment == 'BUILDING']")
+
+
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) AS large FROM customer")
+def text_view_has(spark, d):
+    return _text(spark, d, ".customer { c_custkey, large: has(/orders[:o | o.o_custkey == .c_custkey && o.o_totalprice > 400000]) }")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (7, 3)")
+def text_view_keys(spark, d):
+    return _text(spark, d, ".nation[7, 3] { n_nationkey, n_name }")
+
+
+@query("SELECT o_orderkey FROM orders WHERE list_position(['5-LOW', '3-MEDIUM', '1-URGENT', '4-NOT SPECIFIED', '2-HIGH'], o_orderpriority) < 3 AND o_orderkey < 3000")
+def text_view_enum_order(spark, d):
+    """Enums compare by declaration."""
+    return _text(spark, d, ".orders[:o | o.o_orderpriority < '1-URGENT' || o.o_orderpriority == '3-MEDIUM'][:p | p.o_orderkey < 3000] { o_orderkey }")
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) || '-' || lower(c_name) AS label, (c_acctbal::DECIMAL(18,2) * 2 + 1)::DECIMAL(28,2) AS twice FROM customer", exact="twice")
+def text_view_scalars(spark, d):
+    return _text(spark, d, ".customer { c_custkey, label: string.upper(c_mktsegment) + '-' + string.lower(c_name), twice: c_acctbal * 2 + 1 }")
+
+
+# host functions, access, stores
+
+
+@query("SELECT n_nationkey, upper(n_name) || '!' AS shout FROM nation")
+def host_function_call(spark, d):
+    from pyspark.sql.types import StringType
+
+    from .functions.host import Registry
+
+    hosts = Registry()
+    hosts.register("demo.shout", ["text"], StringType(), lambda s: s.str.upper() + "!")
+    return project.project(coll(spark, d, "nation"), {"n_nationkey": c("n_nationkey"), "shout": hosts.call("demo.shout", [(c("n_name"), "text")])}).rows()
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def access_visible_rows(spark, d):
+    from .operators import access
+
+    grants = table(spark, d, "customer").where("c_nationkey = 3").select(c("c_custkey").alias("scope"), F.lit("ann").alias("account"))
+    return access.visible(coll(spark, d, "orders"), collection(grants, ["scope"], "grants"), "o_custkey", "ann").rows().select("o_orderkey")
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def artifact_round_trip(spark, d):
+    from .sources import tables
+
+    path = _scratch(spark, "artifact")
+    tables.write_snapshot(path, {"part": table(spark, d, "part").select("p_partkey", "p_name")}, {"seq": 1})
+    return tables.read_snapshot(spark, path)[1]["part"]
+
+
+@query("SELECT count(DISTINCT text) AS stored, count(*) AS described, count(DISTINCT sha256(text)) AS digests FROM documents")
+def blob_store(spark, d):
+    from .sources import tables
+
+    path = _scratch(spark, "blobs")
+    docs = table(spark, d, "documents").select(F.encode("text", "UTF-8").alias("content"), F.lit("text/plain").alias("media"), c("doc_id").cast("string").alias("name"))
+    blobs = tables.write_blobs(docs, path, "content", "media", "name")
+    stored = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("stored"))
+    out = blobs.agg(F.count(F.lit(1)).alias("described"), F.count_distinct("blob.sha512").alias("digests"))
+    return stored.withColumn("k", F.lit(1)).join(out.withColumn("k", F.lit(1)), "k").select("stored", "described", "digests")
+
+
+@query("SELECT (user_id % 10)::BIGINT AS ring, max(event_id) AS version FROM events WHERE event_type <> 'refund' GROUP BY 1")
+def key_ring_current(spark, d):
+    versions = table(spark, d, "events").select((c("user_id") % 10).alias("ring"), c("event_id").alias("version"), F.when(c("event_type") == "refund", c("ts")).alias("revoked_at"))
+    return placement.ring_current(versions).select("ring", "version")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def series_key_conflicts(spark, d):
+    """A custom key that several intervals of a series share."""
+    view = temporal.bucket(coll(spark, d, "orders"), c("o_orderdate"))
+    return temporal.series_key_conflicts(view, ["o_custkey"]).df.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'remove' AS op, p_partkey FROM (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10) WHERE p_partkey % 2 = 0 UNION ALL SELECT 'insert', p_partkey FROM (SELECT p_partkey FROM part WHERE p_partkey % 2 = 1 ORDER BY p_retailprice DESC, p_partkey LIMIT 10) WHERE p_partkey NOT IN (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10)")
+def watch_patches(spark, d):
+    """A watch over the ten dearest parts, before and after the even ones go."""
+    watch = live.Watch(lambda s: project.sort(collection(s, ["p_partkey"], "part"), ("p_retailprice", True), limit=10))
+    parts = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    watch.advance(parts, 1)
+    _, patches = watch.advance(parts.where("p_partkey % 2 = 1"), 2)
+    return spark.createDataFrame([(op, i[0]) for op, i, _, _ in patches if op in ("insert", "remove")], "op string, p_partkey long")
+
+
+@query("SELECT seq, id FROM (SELECT event_id AS seq, user_id::VARCHAR AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 1")
+def operation_dedup(spark, d):
+    """The first request of every operation id runs; later ones do not."""
+    new = table(spark, d, "events").select(c("user_id").cast("string").alias("operation_id"), c("event_id").alias("request_id"))
+    done = spark.createDataFrame([], "operation_id string")
+    return change_log.operation_seen(done, new).select(c("request_id").alias("seq"), c("operation_id").alias("id"))
+
+
+@query("SELECT user_id::VARCHAR AS id, max(event_id) AS seq FROM events GROUP BY 1")
+def log_rekey(spark, d):
+    """Every user's log ends in a rename and another one back: the state is under the first name."""
+    log = _log(spark, d).withColumn("op", F.lit("update"))
+    last = log.groupBy("id").agg(F.max("seq").alias("seq"))
+    moves = last.select(c("seq"), F.lit("rekey").alias("op"), c("id"), F.concat("id", F.lit("'")).alias("new_id"), F.lit(None).cast("decimal(18,2)").alias("payload"))
+    back = moves.select((c("seq") + 10**9).alias("seq"), "op", c("new_id").alias("id"), c("id").alias("new_id"), "payload")
+    moves = moves.withColumn("seq", c("seq") + 10**8)
+    return change_log.state_at(log.unionByName(moves).unionByName(back), 10**10).select("id", (c("seq") - 10**9).alias("seq"))

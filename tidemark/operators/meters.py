@@ -43,7 +43,7 @@ def fund(spends: DataFrame, pools: DataFrame, by: str) -> DataFrame:
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         # a side without rows comes without columns
-        pools_of = dict(list(right.groupby(by))) if len(right) else {}
+        pools_of = dict(list(right.groupby("holder"))) if len(right) else {}
         none = pd.DataFrame(columns=["place", "pool_id", "quantity"])
         out = []
         for key, mine in left.groupby(by) if len(left) else ():
@@ -74,8 +74,11 @@ def fund(spends: DataFrame, pools: DataFrame, by: str) -> DataFrame:
     schema = f"{by} {kind}, spend_id {spend_id}, pool_id {pool_id}, amount decimal(18,2), admitted boolean"
     # a few calls for each shuffle partition: a call costs more than a small key's fold
     calls = 4 * int(spends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spends, pools = (df.where(F.col(by).isNotNull()).withColumn("__call", F.pmod(F.xxhash64(by), F.lit(calls))) for df in (spends, pools))
-    return spends.groupBy("__call").cogroup(pools.groupBy("__call")).applyInPandas(run, schema)
+    call = lambda k: F.pmod(F.xxhash64(k), F.lit(calls)).alias("call")
+    spends = spends.where(F.col(by).isNotNull()).select("*", call(by))
+    # columns of their own: pools may be made from the spends themselves
+    pools = pools.where(F.col(by).isNotNull()).select(F.col(by).alias("holder"), "pool_id", "quantity", "active_from", "active_until", "place", call(by))
+    return spends.groupBy("call").cogroup(pools.groupBy("call")).applyInPandas(run, schema)
 
 
 def fund_levels(spends: DataFrame, levels: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
