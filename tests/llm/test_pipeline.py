@@ -56,3 +56,23 @@ def test_queries_with_sql(spark, small):
 def test_registry_is_complete():
     assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
     assert line_dedup.MIN_DOCS == 5 and near_dedup.SHINGLE == 5
+
+
+def test_stages_on_odd_rows(spark, small, odd_docs, no_docs, clashing):
+    """Nulls, empty tables and columns of the stages' own names pass through all stages."""
+    for docs in (odd_docs, no_docs, clashing):
+        columns, n = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            result = stage(spark, docs, small)
+            rows = result.collect()
+            if name == "packing":
+                assert len(rows) >= (1 if n else 0)
+                break
+            assert result.columns == columns
+            assert result.schema == docs.schema or [f.dataType for f in result.schema] == [f.dataType for f in docs.schema]
+            docs = spark.createDataFrame(rows, result.schema)
+
+
+def test_toxicity_stage_without_labels(spark, odd_docs, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.toxicity_stage(spark, odd_docs, str(tmp_path)).count() == odd_docs.count()

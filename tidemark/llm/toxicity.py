@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a few thousand ids of either class: at most 2 * per_class rows of 12 bytes are broadcast
     picked = [given.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     picked = materialize(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("__tox_id"), F.col("toxic").cast("int").alias("toxic")), "picked")
-    sample = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__tox_id")).select(F.col(text_col).alias("text"), "toxic")
+    slim = docs.select(F.col(id_col).alias("__tox_doc"), F.col(text_col).alias("text"))
+    sample = slim.join(F.broadcast(picked), F.col("__tox_doc") == F.col("__tox_id")).select("text", "toxic")
     sample = materialize(sample, "sample")
     n1 = sample.where("toxic = 1").count()
     least = max(3, n1 // 300)
