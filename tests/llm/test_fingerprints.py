@@ -54,6 +54,16 @@ def test_likeness_estimates_what_is_shared():
         assert fp.likeness(*(fp.PrefixHash(fp.codes(t)).fingerprint() for t in (a, b))) < 0.05
 
 
+def test_ranges(spark):
+    from bisect import bisect_right
+
+    from pyspark.sql import functions as F
+
+    for splits in ([], [5], [0, 3, 4, 9], list(range(0, 97, 7))):
+        got = spark.range(-2, 100).select("id", fp.range_of(F.col("id"), splits).alias("r")).collect()
+        assert all(r["r"] == bisect_right(splits, r["id"]) for r in got)
+
+
 def expected(rows):
     """(id, chars, digest of the edited text) by ascending id."""
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))

@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, tune_arrow
@@ -196,6 +196,14 @@ def _stream(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def range_of(key: Column, splits: list[int], first: int = 0) -> Column:
+    """The number of ``splits`` (ascending) up to a key, plus ``first``: a tree of comparisons, as deep as the logarithm of their number."""
+    if not splits:
+        return F.lit(first)
+    k = len(splits) // 2
+    return F.when(key < splits[k], range_of(key, splits[:k], first)).otherwise(range_of(key, splits[k + 1 :], first + k + 1))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs`` with its fingerprint and what becomes of it in an edit; see ``FIELDS``."""
     tune_arrow(docs.sparkSession)
@@ -203,9 +211,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     splits = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20_000)).first()[0] or []
     splits = sorted(set(splits))
-    # the range of an id is the number of borders up to it; a bounded array of borders, not of rows
-    border = F.array(*[F.lit(s) for s in splits]) if splits else F.array().cast("array<bigint>")
-    part = F.size(F.filter(border, lambda s: s <= key)).cast("int")
+    part = range_of(key, splits).cast("int")
     slim = docs.select(part.alias("part"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     firsts = dict(slim.select("part", F.coalesce("doc_id", F.lit(LAST)).alias("k")).groupBy("part").agg(F.min("k")).collect())
     ranges = sorted(firsts)
