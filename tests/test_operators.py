@@ -244,3 +244,8 @@ def test_access(spark, items):
     for bad in ({}, {"a": 1, "z": 2}):
         with pytest.raises(TypeError):
             access.closed_arguments({"a": ..., "b": 2}, bad)
+
+
+def test_views_in_different_orders_meet(items):
+    down, up = project.sort(items, ("n", True), limit=2), project.sort(items, ("n", False), limit=2)
+    assert ids(combine.concatenated(down, up)) == ["b", "d", "c", "a"]

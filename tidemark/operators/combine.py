@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.order import asc
+from ..functions.order import asc, positioned
 from ..plans.view import StaticError, View
 
 
@@ -27,12 +27,13 @@ def _by_identity(a: View, b: View, how: str):
 
 def concatenated(a: View, b: View) -> View:
     """The left's rows, then the right's."""
+    a, b = a.bounded(), b.bounded()
     if set(a.fields) != set(b.fields):
         raise StaticError("combined views must have the same fields")
     width = max(len(a.down), len(b.down))
     if a.down != b.down:
         # different orders meet as positions of their own
-        a, b = (v.on(v.df.withColumn("__ord0", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*v.order()))).drop(*[f"__ord{i}" for i in range(1, width)]), down=(False,)) for v in (a, b))
+        a, b = (v.on(positioned(v.df, v.order(), "__place").drop(*[f"__ord{i}" for i in range(width)]).withColumnRenamed("__place", "__ord0"), down=(False,)) for v in (a, b))
     frames = []
     for side, v in enumerate((a, b)):
         shifted = {f"__ord{i + 1}": F.col(f"__ord{i}") for i in range(len(v.down))}

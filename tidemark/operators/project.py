@@ -84,7 +84,8 @@ def choose(condition: Column, then: View, other: View) -> View:
     """
     from .combine import concatenated
 
-    return concatenated(then.bounded().on(then.bounded().df.where(condition)), other.bounded().on(other.bounded().df.where(~condition)))
+    then, other = then.bounded(), other.bounded()
+    return concatenated(then.on(then.df.where(condition)), other.on(other.df.where(~condition)))
 
 
 def nested(parent: View, child: View, on: Mapping[str, str], name: str, fields: list[str] | None = None) -> View:
