@@ -1112,7 +1112,7 @@ def text_view_has(spark, d):
     return _text(spark, d, ".customer { c_custkey, large: has(/orders[:o | o.o_custkey == .c_custkey && o.o_totalprice > 400000]) }")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (7, 3)")
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_nationkey IN (7, 3)")
 def text_view_keys(spark, d):
     return _text(spark, d, ".nation[7, 3] { n_nationkey, n_name }")
 
