@@ -89,3 +89,13 @@ def test_groups_are_packed_apart(spark):
     rows = pk.packed(df, capacity=64, group=40).collect()
     assert len({r["sequence_id"] >> 24 for r in rows}) > 5
     check(rows, {k: ["word " * (k % 50)] for k in range(400)}, 64)
+
+
+def test_stretches_keep_all_texts_in_order():
+    from tidemark.llm.common import stretches
+
+    texts = [b"a" * n for n in (0, 5, 30, 2, 3, 100, 1)] + [None]
+    parts = list(stretches(texts, 10))
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(len(t or b"") for t in p) <= 10 for p in parts)
+    assert list(stretches([])) == []

@@ -51,6 +51,20 @@ def tune_arrow(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def stretches(texts: list[bytes | None], size: int = 2 << 20):
+    """Yields runs of texts of about ``size`` bytes at most, or single texts, so that what is made of a run stays small."""
+    part, held = [], 0
+    for t in texts:
+        n = len(t or b"")
+        if part and held + n > size:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += n
+    if part:
+        yield part
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

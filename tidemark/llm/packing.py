@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tune_arrow
+from .common import materialize, stretches, tune_arrow
 
 CAPACITY = 2048
 END_ID = 1
@@ -165,7 +165,8 @@ def _pieces(path: str, capacity: int, end_id: int):
         end = struct.pack("<I", end_id)
         for batch in batches:
             rows, start, length, crc, total = [], [], [], [], []
-            for r, ids in enumerate(tokens(batch.column(1).cast(pa.binary()).to_pylist())):
+            texts = stretches(batch.column(1).cast(pa.binary()).to_pylist())
+            for r, ids in enumerate(ids for part in texts for ids in tokens(part)):
                 ids += end
                 n = len(ids) // 4
                 for s in range(0, n, capacity):

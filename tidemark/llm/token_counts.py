@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune_arrow
+from .common import stretches, tune_arrow
 
 WORDS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: The symbol after a word's last byte.
@@ -156,7 +156,7 @@ def counted(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
     def run(batches):
         count = counter(path)
         for batch in batches:
-            found = count(batch.column(at).cast(pa.binary()).to_pylist())
+            found = [n for part in stretches(batch.column(at).cast(pa.binary()).to_pylist()) for n in count(part)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*names, "__tc_tokens"])
 
     schema = docs.schema.__class__(docs.schema.fields[:])
