@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -21,7 +22,7 @@ def library_ids(text):
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(max_size=50) | st.text(alphabet="aZé İß'’….,!?\n\t\x0b\x1ć ‍中12<|>endoftext", max_size=80) | st.sampled_from(["<|endoftext|>", "a<|ENDOFTEXT|>b", "it's 's don'T", "x.. y., z.", "İ.", "ﬁ."]), min_size=1, max_size=5))
 def test_ids_are_the_librarys(texts):
-    assert TOKENS([t.encode() for t in texts]) == [library_ids(t).tobytes() for t in texts]
+    assert TOKENS(pa.array(texts, pa.string())) == [library_ids(t).tobytes() for t in texts]
 
 
 def plain_first_fit(lengths, capacity):
@@ -92,10 +93,14 @@ def test_groups_are_packed_apart(spark):
 
 
 def test_stretches_keep_all_texts_in_order():
-    from tidemark.llm.common import stretches
+    from tidemark.llm.common import slices, stretches
 
     texts = [b"a" * n for n in (0, 5, 30, 2, 3, 100, 1)] + [None]
     parts = list(stretches(texts, 10))
     assert [t for p in parts for t in p] == texts
     assert all(len(p) == 1 or sum(len(t or b"") for t in p) <= 10 for p in parts)
     assert list(stretches([])) == []
+    array = pa.array([None if t is None else t.decode() for t in texts], pa.string())
+    assert [[None if t is None else t.encode() for t in p.to_pylist()] for p in slices(array, 10)] == parts
+    assert list(slices(pa.array([], pa.string()))) == []
+    assert TOKENS(pa.array([None, "", " \t", "a"], pa.string()).slice(1)) == [b"", b"", library_ids("a").tobytes()]

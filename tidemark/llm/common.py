@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,18 @@ def stretches(texts: list[bytes | None], size: int = 2 << 20):
         yield part
 
 
+def slices(texts: pa.Array, size: int = 2 << 20):
+    """The same runs of an Arrow array."""
+    at = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > at and held + n > size:
+            yield texts.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if len(texts) > at:
+        yield texts.slice(at)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,10 +21,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, stretches, tune_arrow
+from .common import materialize, slices, tune_arrow
 
 CAPACITY = 2048
 END_ID = 1
@@ -63,16 +64,31 @@ class WordTokens:
         self.learn(marks)
         self.tail = {m: self.known[m] for m in marks}
 
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        texts = [(t or b"").split() for t in texts]
-        words = set()
-        for t in texts:
-            words.update(t)
-        missing = words - self.known.keys()
-        if len(self.known) + len(missing) > self.size // 2:
-            self.older, self.known, missing = self.known, {}, words
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Arrow parts the texts and numbers their distinct words; only those are looked up, and numpy puts their ids in a row."""
+        parted = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = parted.flatten().dictionary_encode()
+        words, place = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        if len(self.known) > self.size // 2:
+            self.older, self.known = self.known, {}
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            self.meet([w for w, x in zip(words, ids, strict=True) if x is None])
+            ids = [self.known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        length = size[place]
+        end = np.concatenate([[0], np.cumsum(length)])
+        # the place in the pool of each token: its word's first, plus how far into the word it is
+        row = pool[np.arange(end[-1]) + np.repeat(first[place] - end[:-1], length)]
+        cut = end[np.concatenate([[0], np.cumsum(parted.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)].tolist()
+        return [row[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+    def meet(self, words: list[bytes]) -> None:
+        """Makes words known."""
         simple, new = {}, set()
-        for w in missing:
+        for w in words:
             if (ids := self.older.get(w)) is not None:
                 self.known[w] = ids
                 continue
@@ -86,9 +102,6 @@ class WordTokens:
         for w, core in simple.items():
             if w != core:
                 self.known[w] = self.known[core] + (self.tail[w[-1:]] if len(w) > len(core) else b"")
-        find = self.known.__getitem__
-        return [b"".join(map(find, t)) for t in texts]
-
 
     def core(self, word: bytes) -> bytes:
         """What is left to tokenize of a word: the tokenizer lower-cases letters itself, and a mark after letters is a token apart."""
@@ -165,8 +178,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         end = struct.pack("<I", end_id)
         for batch in batches:
             rows, start, length, crc, total = [], [], [], [], []
-            texts = stretches(batch.column(1).cast(pa.binary()).to_pylist())
-            for r, ids in enumerate(ids for part in texts for ids in tokens(part)):
+            for r, ids in enumerate(ids for part in slices(batch.column(1)) for ids in tokens(part)):
                 ids += end
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
