@@ -104,3 +104,41 @@ def test_other_columns_stay(spark):
 def test_no_python_in_the_plan(spark, small):
     plan = uf.op4_url_filter(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_models(rows):
+    """What each sequence adds to a score, by counting all of them in plain Python."""
+    import math
+    from collections import Counter
+
+    counts = [Counter(), Counter()]
+    for s, allow in rows:
+        for end in range(2, len(s) + 1):
+            counts[allow].update(s[end - k : end] for k in range(1, min(end, uf.ORDER) + 1))
+    after = [{}, {}]
+    for side in (0, 1):
+        for gram, n in counts[side].items():
+            after[side].setdefault(gram[:-1], []).append(n)
+
+    def p(gram, side):
+        if len(gram) == 1:
+            return (counts[side][gram] + 1) / (sum(after[side][""]) + len(uf.ALPHABET))
+        kinds = after[side].get(gram[:-1])
+        return (counts[side][gram] + len(kinds) * p(gram[1:], side)) / (sum(kinds) + len(kinds)) if kinds else p(gram[1:], side)
+
+    score = lambda s: sum(math.log(p(g, 1) / p(g, 0)) for g in (s[max(0, end - uf.ORDER) : end] for end in range(2, len(s) + 1))) / (len(s) - 1)
+    return set(counts[0]) | set(counts[1]), score
+
+
+def test_rare_sequences_stay_in_large_models(spark):
+    """With far more than 40,000 positions, sequences seen once count too; scores are those of plain counting."""
+    r = random.Random(7)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(3, 9)))
+    rows = [(f"^{word('abcdefgh')}.example.org/{word('aeiorstn')}/{word('0123456789')}/{word('abcdefghijklmnopqrstuvwxyz')}$", k % 2) for k in range(3000)]
+    sequences, score = plain_models(rows)
+    gains, steps, unknown = uf.fit(spark.createDataFrame(rows, "__url_s string, allow int"))
+    assert gains.count() == len(sequences)
+    asked = ["^$", "^zq#%$", *{s for s, _ in rows[:300]}, *{f"^{word('abcdxyz')}.net/{word('aeiorstn019')}$" for _ in range(300)}]
+    got = uf.differences(spark.createDataFrame([(s,) for s in asked], "__url_s string"), gains, steps, unknown).collect()
+    assert sorted(x["__url_s"] for x in got) == sorted(asked)
+    assert all(x["score"] == pytest.approx(score(x["__url_s"]), abs=1e-9) for x in got)

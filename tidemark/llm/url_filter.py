@@ -3,17 +3,20 @@
 Rules of (host, path) allow or block; a rule fits its host and all subdomains
 of it where the path starts with the rule's, and the longest rule wins.  Two
 variable-order Markov models are counted over the characters of all allowed
-and all blocked addresses.  A history of up to four characters is kept only
-while it makes up at least one in ``share`` of all positions, so the models
-hold at most ``share`` entries for each order, whatever the table's size.
-Estimates of a longer history are interpolated with those of the shorter one
-(Witten-Bell), down to add-one smoothing without history.  An address is judged
-by the difference of the two log-likelihoods divided by its length; the border
-is calibrated on a fold of the rules' addresses that the counts leave out.
-
-Everything is DataFrame functions: positions are exploded, counted with partial
-sums, and looked up in the two broadcast model tables (at most ``ORDER * share``
-rows of 16 bytes each).
+and all blocked addresses.  Every sequence of up to ``ORDER`` characters and
+every history is kept, however rare, so the models grow with the addresses that
+rules decide.  Estimates of a longer history are interpolated with those of the
+shorter one (Witten-Bell), down to add-one smoothing without history.  An
+address is judged by the difference of the two log-likelihoods divided by its
+length; the border is calibrated on a fold of the rules' addresses that the
+counts leave out.
+
+Everything is DataFrame functions: positions are exploded and counted with
+partial sums; the distinct sequences to judge are looked up in the models by
+shuffled joins, shortest first, and their scores are joined to the positions
+by the sequence.  Sequences that make up at least one in ``HOT`` positions, of
+which there are at most ``HOT``, are joined by broadcast instead, so that a
+common one does not land in one task.
 
 Defined results: an address that is null or lacks ``://`` has an empty host and
 path, fits no rule and has the likelihood difference 0; without addresses of
@@ -42,7 +45,8 @@ RULES = (
 )
 #: Longest sequence of characters that is counted: a history and what follows it.
 ORDER = 5
-SHARE = 20_000
+#: A sequence that makes up one in so many positions is common.
+HOT = 1000
 #: One in so many addresses with a rule calibrates.
 FOLD = 5
 ALPHABET = string.ascii_lowercase + string.digits + "/.-_?=&#:%~^$"
@@ -91,14 +95,17 @@ def _positions(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, "__url_s", F.explode(F.sequence(F.lit(2), F.char_length("__url_s"))).alias("at"))
 
 
-def fit(labelled: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame, float]:
-    """The models from (``__url_s``, ``allow`` 0 or 1): (key, gain) of sequences, (key, step) of histories, and the gain of an unknown character."""
+def fit(labelled: DataFrame, share: int | None = None) -> tuple[DataFrame, DataFrame, float]:
+    """The models from (``__url_s``, ``allow`` 0 or 1): (key, gain) of sequences, (key, step) of histories, and the gain of an unknown character.
+
+    Only a caller that gives ``share`` has longer sequences and histories left out: those seen once or less than once in ``share`` positions.
+    """
     grams = _positions(labelled, "allow").select("allow", F.explode(F.array(*[_gram("__url_s", "at", k) for k in range(1, ORDER + 1)])).alias("gram")).where("gram IS NOT NULL")
     grams = grams.groupBy("gram").agg(F.sum("allow").alias("a"), F.sum(1 - F.col("allow")).alias("r"))
     grams = materialize(grams.withColumn("k", F.char_length("gram")), "grams")
     total = grams.where("k = 1").agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
     n_a, n_r = int(total[0]), int(total[1])
-    least = max(2.0, (n_a + n_r) / share)
+    least = max(2.0, (n_a + n_r) / share) if share else 1.0
     kinds = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).cast("double")
     history = grams.groupBy(F.expr("substring(gram, 1, k - 1)").alias("history")).agg(F.sum("a").alias("na"), F.sum("r").alias("nr"), kinds("a").alias("ta"), kinds("r").alias("tr"))
     history = materialize(history.where(f"history <> '' AND na + nr >= {least}"), "histories")
@@ -115,28 +122,35 @@ def fit(labelled: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame,
     known = levels[0]
     for level in levels[1:]:
         known = known.unionByName(level)
-    known = known.select(F.xxhash64("gram").alias("key"), F.ln(F.col("pa") / F.col("pr")).alias("gain"))
+    known = known.select(F.col("gram").alias("key"), F.ln(F.col("pa") / F.col("pr")).alias("gain"))
     left = lambda n, t: F.when(F.col(n) > 0, F.col(t) / (F.col(n) + F.col(t))).otherwise(F.lit(1.0))
-    steps = history.select(F.xxhash64("history").alias("key"), F.ln(left("na", "ta") / left("nr", "tr")).alias("step"))
+    steps = history.select(F.col("history").alias("key"), F.ln(left("na", "ta") / left("nr", "tr")).alias("step"))
     return materialize(known, "gains"), materialize(steps, "steps"), math.log((n_r + v) / (n_a + v))
 
 
 def differences(addresses: DataFrame, gains: DataFrame, steps: DataFrame, unknown: float) -> DataFrame:
     """(``__url_s``, score) of distinct ``addresses``: the log-likelihood difference by length."""
-    x = _positions(addresses)
-    for k in range(1, ORDER + 1):
-        x = x.withColumn(f"g{k}", F.xxhash64(_gram("__url_s", "at", k)))
-        if k > 1:  # the history of the sequence of k
-            x = x.withColumn(f"h{k}", F.xxhash64(F.expr(f"CASE WHEN at >= {k} THEN substring(__url_s, at - {k - 1}, {k - 1}) END")))
-    # the models' sizes are bounded by SHARE, not by the data
-    for k in range(1, ORDER + 1):
-        x = x.join(F.broadcast(gains.select(F.col("key").alias(f"g{k}"), F.col("gain").alias(f"gain{k}"))), f"g{k}", "left")
-        if k > 1:
-            x = x.join(F.broadcast(steps.select(F.col("key").alias(f"h{k}"), F.col("step").alias(f"step{k}"))), f"h{k}", "left")
-    score = F.coalesce("gain1", F.lit(unknown))
+    x = materialize(addresses.select("__url_s", F.monotonically_increasing_id().alias("id")), "asked")
+    at = _positions(x, "id").select("id", F.expr(f"substring(__url_s, greatest(at - {ORDER - 1}, 1), least(at, {ORDER}))").alias("gram"))
+    grams = materialize(at.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "asked_grams")
+    suffixes = lambda k: grams.where(F.char_length("gram") >= k).select(F.expr(f"right(gram, {k})").alias("gram")).distinct()
+    # a shorter sequence is the end of at most one longer one for each letter of the alphabet
+    level = suffixes(1).join(gains.withColumnRenamed("key", "gram"), "gram", "left").select("gram", F.coalesce("gain", F.lit(unknown)).alias("score"))
+    scored = level = materialize(level, "scored1")
     for k in range(2, ORDER + 1):
-        score = F.coalesce(F.col(f"gain{k}"), F.coalesce(F.col(f"step{k}"), F.lit(0.0)) + score)
-    return x.select("__url_s", score.alias("score")).groupBy("__url_s").agg((F.sum("score") / F.count(F.lit(1))).alias("score"))
+        wanted = suffixes(k).select("gram", F.expr(f"left(gram, {k - 1})").alias("history"), F.expr("substring(gram, 2)").alias("shorter"))
+        wanted = wanted.join(level.select(F.col("gram").alias("shorter"), "score"), "shorter").join(steps.withColumnRenamed("key", "history"), "history", "left").join(gains.withColumnRenamed("key", "gram"), "gram", "left")
+        level = materialize(wanted.select("gram", F.coalesce("gain", F.coalesce("step", F.lit(0.0)) + F.col("score")).alias("score")), f"scored{k}")
+        scored = scored.unionByName(level)
+    scored = materialize(grams.join(scored, "gram"), "scored")
+    positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = scored.where(F.col("n") * HOT >= positions).select("gram", F.col("score").alias("common"))  # at most HOT rows
+    at = at.join(F.broadcast(common), "gram", "left")
+    rare = at.where("common IS NULL").select("id", "gram").join(scored.where(F.col("n") * HOT < positions).select("gram", "score"), "gram")
+    sums = at.where("common IS NOT NULL").select("id", F.col("common").alias("score")).unionByName(rare.select("id", "score"))
+    # decimals add up to the same in any order
+    sums = sums.groupBy("id").agg((F.sum(F.col("score").cast("decimal(18,14)")).cast("double") / F.count(F.lit(1))).alias("score"))
+    return x.join(sums, "id").select("__url_s", "score")
 
 
 def border(scores: DataFrame) -> float:
@@ -150,7 +164,7 @@ def border(scores: DataFrame) -> float:
     return (a["m"] * r["s"] + r["m"] * a["s"]) / (a["s"] + r["s"])
 
 
-def judged(pages: DataFrame, url_col: str = "url", rules=RULES, share: int = SHARE) -> DataFrame:
+def judged(pages: DataFrame, url_col: str = "url", rules=RULES, share: int | None = None) -> DataFrame:
     """``pages`` with ``__url_host``, ``__url_path``, ``__url_rule``, ``__url_score`` (null where a rule decides) and ``__url_verdict``."""
     host, path = host_and_path(F.col(url_col))
     x = pages.withColumn("__url_host", host).withColumn("__url_path", path)
