@@ -142,3 +142,22 @@ def test_rare_sequences_stay_in_large_models(spark):
     got = uf.differences(spark.createDataFrame([(s,) for s in asked], "__url_s string"), gains, steps, unknown).collect()
     assert sorted(x["__url_s"] for x in got) == sorted(asked)
     assert all(x["score"] == pytest.approx(score(x["__url_s"]), abs=1e-9) for x in got)
+
+
+def test_rules_are_the_contracts():
+    """Written out, so that a rule changed in the code is noticed."""
+    assert set(uf.RULES) == {
+        ("allow", "org", "/"),
+        ("block", "example.org", "/es/"),
+        ("block", "example.org", "/en/1"),
+        ("allow", "com", "/fr/"),
+        ("block", "com", "/de/"),
+    }
+
+
+@pytest.mark.parametrize("url, rule", [("http://x.com/fr/1", "com/fr/"), ("http://x.com/fr/", "com/fr/"), ("http://x.com/fr", None), ("http://x.com/france", None), ("http://com/fr/?q", "com/fr/")])
+def test_paths_under_fr(spark, url, rule):
+    host, path = uf.host_and_path(F.col("url"))
+    found, said = uf.longest_rule(F.col("h"), F.col("p"))
+    got = spark.createDataFrame([(url,)], "url string").select(host.alias("h"), path.alias("p")).select(found.alias("rule"), said.alias("said")).first()
+    assert (got["rule"], got["said"]) == (rule, "allow" if rule else None)

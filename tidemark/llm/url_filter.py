@@ -40,7 +40,7 @@ RULES = (
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
     ("block", "example.org", "/en/1"),
-    ("allow", "com", "/fr"),
+    ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
 #: Longest sequence of characters that is counted: a history and what follows it.
