@@ -168,7 +168,18 @@ def project_computed_chain(spark, d):
     FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 200 GROUP BY o_orderkey"""
 )
 def project_nested_children(spark, d):
-    parents = select.where(coll(spark, d, "orders"), c("o_orderkey") < 200)
+    return _children(spark, d, select.where(coll(spark, d, "orders"), c("o_orderkey") < 200))
+
+
+@query(
+    """SELECT o_orderkey, coalesce(string_agg(l_linenumber::VARCHAR || ':' || l_partkey::VARCHAR, ',' ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber), '') AS lines
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
+)
+def project_nested_children_all(spark, d):
+    return _children(spark, d, coll(spark, d, "orders"))
+
+
+def _children(spark, d, parents: View) -> DataFrame:
     view = project.nested(parents, coll(spark, d, "lineitem"), {"o_orderkey": "l_orderkey"}, "kids", ["l_linenumber", "l_partkey"])
     line = F.transform("kids", lambda k: F.concat_ws(":", k["l_linenumber"].cast("string"), k["l_partkey"].cast("string")))
     return view.rows().select("o_orderkey", F.array_join(line, ",").alias("lines"))
