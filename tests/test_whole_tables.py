@@ -8,6 +8,9 @@ from tidemark import catalogue
 #: Query, the SQL of how many rows it has.
 ROWS = [
     ("project_nested_children_all", "SELECT count(*) FROM orders"),
+    ("recurring_fixed_all", "SELECT 4 * count(*) FROM orders"),
+    ("recurring_clipped_all", "SELECT sum((o_orderkey % 60 + 11) // 7)::BIGINT FROM orders"),
+    ("recurring_monthly_clamp_all", "SELECT 6 * count(*) FROM orders"),
 ]
 
 

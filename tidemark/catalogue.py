@@ -588,7 +588,18 @@ def _micros(view: View, *fields: str) -> DataFrame:
     FROM orders, LATERAL (SELECT unnest(range(0, 4)) AS i) WHERE o_orderkey < 500"""
 )
 def recurring_fixed(spark, d):
-    orders = select.where(coll(spark, d, "orders"), c("o_orderkey") < 500)
+    return _weeks(select.where(coll(spark, d, "orders"), c("o_orderkey") < 500))
+
+
+@query(
+    """SELECT o_orderkey, i AS index, epoch_us(o_orderdate) + i * 604800000000 AS start, epoch_us(o_orderdate) + (i + 1) * 604800000000 AS until
+    FROM orders, LATERAL (SELECT unnest(range(0, 4)) AS i)"""
+)
+def recurring_fixed_all(spark, d):
+    return _weeks(coll(spark, d, "orders"))
+
+
+def _weeks(orders: View) -> DataFrame:
     view = temporal.recurring(orders, c("o_orderdate"), F.lit(7 * 86_400_000_000), None, times.shifted(c("o_orderdate").cast("timestamp"), 28 * 86_400_000_000))
     return _micros(view, "o_orderkey")
 
@@ -599,7 +610,18 @@ def recurring_fixed(spark, d):
 )
 def recurring_clipped(spark, d):
     """The last interval ends where the series does."""
-    orders = select.where(coll(spark, d, "orders"), c("o_orderkey") < 2000)
+    return _clipped_weeks(select.where(coll(spark, d, "orders"), c("o_orderkey") < 2000))
+
+
+@query(
+    f"""SELECT o_orderkey, i AS index, a + i * 604800000000 AS start, least(a + (i + 1) * 604800000000, a + days * 86400000000) AS until
+    FROM (SELECT o_orderkey, epoch_us(o_orderdate) AS a, {DAYS} AS days, unnest(range(0, ((5 + o_orderkey % 60) + 6) // 7)) AS i FROM orders)"""
+)
+def recurring_clipped_all(spark, d):
+    return _clipped_weeks(coll(spark, d, "orders"))
+
+
+def _clipped_weeks(orders: View) -> DataFrame:
     end = times.shifted(c("o_orderdate").cast("timestamp"), (c("o_orderkey") % 60 + 5) * 86_400_000_000)
     view = temporal.recurring(orders, c("o_orderdate"), F.lit(7 * 86_400_000_000), end, instant("2100-01-01 00:00:00"))
     return _micros(view, "o_orderkey")
@@ -611,10 +633,22 @@ def recurring_clipped(spark, d):
 )
 def recurring_monthly_clamp(spark, d):
     """Anchored on the 31st of January: short months end it earlier, later ones do not."""
-    orders = select.where(coll(spark, d, "orders"), c("o_orderkey") < 1000)
+    return _months(select.where(coll(spark, d, "orders"), c("o_orderkey") < 1000)).where("index < 6")
+
+
+@query(
+    """SELECT o_orderkey, i AS index, epoch_us(a + to_months(i::INTEGER)) AS start, epoch_us(a + to_months((i + 1)::INTEGER)) AS until
+    FROM (SELECT o_orderkey, date_trunc('year', o_orderdate) + INTERVAL 30 DAY AS a, unnest(range(0, 12)) AS i FROM orders) WHERE a + to_months(i::INTEGER) < a + INTERVAL 180 DAY"""
+)
+def recurring_monthly_clamp_all(spark, d):
+    """Only the horizon ends the series."""
+    return _months(coll(spark, d, "orders"))
+
+
+def _months(orders: View) -> DataFrame:
     anchor = (F.date_trunc("year", "o_orderdate") + F.expr("INTERVAL 30 DAYS")).cast("timestamp")
     view = temporal.recurring_calendar(orders, anchor, 1, None, times.shifted(anchor, 180 * 86_400_000_000))
-    return _micros(view, "o_orderkey").where("index < 6")
+    return _micros(view, "o_orderkey")
 
 
 @query(f"SELECT count(*) AS n FROM orders WHERE ({UNTIL}) <= o_orderdate")
