@@ -11,6 +11,7 @@ ROWS = [
     ("recurring_fixed_all", "SELECT 4 * count(*) FROM orders"),
     ("recurring_clipped_all", "SELECT sum((o_orderkey % 60 + 11) // 7)::BIGINT FROM orders"),
     ("recurring_monthly_clamp_all", "SELECT 6 * count(*) FROM orders"),
+    ("view_delta_sets_all", "SELECT count(DISTINCT user_id) FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)"),
 ]
 
 

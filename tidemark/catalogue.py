@@ -969,6 +969,18 @@ def view_delta_sets(spark, d):
     return deltas.changed(state(2), state(3)).select("op", c("id0").alias("user_id"))
 
 
+@query("SELECT CASE WHEN b IS NULL THEN 'insert' WHEN a IS NULL THEN 'remove' ELSE 'update' END AS op, coalesce(a, b) AS user_id FROM (SELECT user_id AS b, count(*) AS nb FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY 1) FULL JOIN (SELECT user_id AS a, count(*) AS na FROM events GROUP BY 1) ON a = b WHERE a IS NULL OR b IS NULL OR na <> nb")
+def view_delta_sets_all(spark, d):
+    """The first half of the log against all of it."""
+    events = coll(spark, d, "events")
+    half = events.df.agg(F.expr("max(event_id) div 2")).first()[0]
+
+    def state(view):
+        return group.group(view, {"user_id": c("user_id")}, {"n": lambda g: g.count()})
+
+    return deltas.changed(state(select.where(events, c("event_id") <= half)), state(events)).select("op", c("id0").alias("user_id"))
+
+
 def _versions(spark, d):
     base = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
     local = base.where("c_custkey % 13 <> 0").withColumn("c_name", F.when(c("c_custkey") % 3 == 0, F.concat("c_name", F.lit("!"))).otherwise(c("c_name")))
