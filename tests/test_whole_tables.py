@@ -12,6 +12,9 @@ ROWS = [
     ("recurring_clipped_all", "SELECT sum((o_orderkey % 60 + 11) // 7)::BIGINT FROM orders"),
     ("recurring_monthly_clamp_all", "SELECT 6 * count(*) FROM orders"),
     ("view_delta_sets_all", "SELECT count(DISTINCT user_id) FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)"),
+    ("agg_avg_all", "SELECT 1"),
+    ("ref_deref_set_all", "SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey)"),
+    ("text_view_enum_order_all", "SELECT count(*) FROM orders WHERE o_orderpriority IN ('5-LOW', '3-MEDIUM')"),
 ]
 
 

@@ -236,7 +236,16 @@ def ref_deref_scalar(spark, d):
 
 @query("SELECT DISTINCT l_orderkey AS o_orderkey, p_partkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 100")
 def ref_deref_set(spark, d):
-    sets = table(spark, d, "lineitem").where("l_orderkey < 100").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("parts"))
+    return _part_sets(spark, d, table(spark, d, "lineitem").where("l_orderkey < 100"))
+
+
+@query("SELECT DISTINCT l_orderkey AS o_orderkey, p_partkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey")
+def ref_deref_set_all(spark, d):
+    return _part_sets(spark, d, table(spark, d, "lineitem"))
+
+
+def _part_sets(spark, d, lines: DataFrame) -> DataFrame:
+    sets = lines.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("parts"))
     view = joins.dereference_set(collection(sets, ["o_orderkey"], "carts"), "parts", coll(spark, d, "part"), "")
     return view.rows().select("o_orderkey", "p_partkey", "p_brand")
 
@@ -288,7 +297,16 @@ def agg_sum(spark, d):
 
 @query(f"SELECT round(sum({TOTALS}) / count(*), 6)::DECIMAL(18,6) AS mean FROM orders WHERE o_orderkey < 1000", exact="mean")
 def agg_avg(spark, d):
-    return group.aggregate(select.where(coll(spark, d, "orders"), c("o_orderkey") < 1000), mean=lambda g: F.round(g.avg(money("o_totalprice")), 6).cast("decimal(18,6)"))
+    return _mean(select.where(coll(spark, d, "orders"), c("o_orderkey") < 1000))
+
+
+@query(f"SELECT round(sum({TOTALS}) / count(*), 6)::DECIMAL(18,6) AS mean FROM orders", exact="mean")
+def agg_avg_all(spark, d):
+    return _mean(coll(spark, d, "orders"))
+
+
+def _mean(orders: View) -> DataFrame:
+    return group.aggregate(orders, mean=lambda g: F.round(g.avg(money("o_totalprice")), 6).cast("decimal(18,6)"))
 
 
 @query(f"SELECT min({TOTALS}) AS lo, max({TOTALS}) AS hi, min(o_orderpriority) AS first, max(o_orderpriority) AS last FROM orders", exact="lo hi")
@@ -1180,6 +1198,11 @@ def text_view_enum_order(spark, d):
     return _text(spark, d, ".orders[:o | o.o_orderpriority < '1-URGENT' || o.o_orderpriority == '3-MEDIUM'][:p | p.o_orderkey < 3000] { o_orderkey }")
 
 
+@query("SELECT o_orderkey FROM orders WHERE list_position(['5-LOW', '3-MEDIUM', '1-URGENT', '4-NOT SPECIFIED', '2-HIGH'], o_orderpriority) < 3")
+def text_view_enum_order_all(spark, d):
+    return _text(spark, d, ".orders[:o | o.o_orderpriority < '1-URGENT' || o.o_orderpriority == '3-MEDIUM'] { o_orderkey }")
+
+
 @query("SELECT c_custkey, upper(c_mktsegment) || '-' || lower(c_name) AS label, (c_acctbal::DECIMAL(18,2) * 2 + 1)::DECIMAL(28,2) AS twice FROM customer", exact="twice")
 def text_view_scalars(spark, d):
     return _text(spark, d, ".customer { c_custkey, label: string.upper(c_mktsegment) + '-' + string.lower(c_name), twice: c_acctbal * 2 + 1 }")
