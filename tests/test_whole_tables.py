@@ -15,6 +15,8 @@ ROWS = [
     ("agg_avg_all", "SELECT 1"),
     ("ref_deref_set_all", "SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey)"),
     ("text_view_enum_order_all", "SELECT count(*) FROM orders WHERE o_orderpriority IN ('5-LOW', '3-MEDIUM')"),
+    ("arith_int_all", "SELECT count(*) FROM lineitem"),
+    ("decimal_div16_all", "SELECT count(*) FROM part"),
 ]
 
 

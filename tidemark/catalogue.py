@@ -477,7 +477,15 @@ def conditional_view(spark, d):
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, ((l_partkey - 1000) // 7)::BIGINT AS q, ((l_partkey - 1000) % 7)::BIGINT AS r, (l_orderkey * 3 + l_linenumber - 5)::BIGINT AS s FROM lineitem WHERE l_partkey >= 1000 OR (l_partkey - 1000) % 7 = 0")
 def arith_int(spark, d):
-    view = select.where(coll(spark, d, "lineitem"), (c("l_partkey") >= 1000) | ((c("l_partkey") - 1000) % 7 == 0))
+    return _integers(select.where(coll(spark, d, "lineitem"), (c("l_partkey") >= 1000) | ((c("l_partkey") - 1000) % 7 == 0)))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, ((l_partkey - 1000) // 7)::BIGINT AS q, ((l_partkey - 1000) % 7)::BIGINT AS r, (l_orderkey * 3 + l_linenumber - 5)::BIGINT AS s FROM lineitem")
+def arith_int_all(spark, d):
+    return _integers(coll(spark, d, "lineitem"))
+
+
+def _integers(view: View) -> DataFrame:
     x = c("l_partkey") - 1000
     keys = {k: c(k) for k in KEYS["lineitem"]}
     return project.project(view, keys | {"q": arith.int_div(x, F.lit(7)), "r": arith.rem(x, F.lit(7)), "s": c("l_orderkey") * 3 + c("l_linenumber") - 5}).rows()
@@ -498,6 +506,16 @@ def decimal_div16(spark, d):
     return project.project(select.where(coll(spark, d, "part"), exact), {"p_partkey": c("p_partkey"), "millionths": F.round(q * 1_000_000).cast("long")}).rows()
 
 
+@query(
+    """SELECT p_partkey, (u // 10000000000000000)::VARCHAR || '.' || lpad((u % 10000000000000000)::VARCHAR, 16, '0') AS quotient
+    FROM (SELECT p_partkey, (2 * round(p_retailprice * 100)::HUGEINT * 100000000000000 + (p_size + 1)) // (2 * (p_size + 1)::HUGEINT) AS u FROM part)"""
+)
+def decimal_div16_all(spark, d):
+    """All 16 digits, as text; the SQL rounds half away from zero in whole numbers (no price is negative)."""
+    q = arith.decimal_div(money("p_retailprice"), c("p_size") + 1)
+    return project.project(coll(spark, d, "part"), {"p_partkey": c("p_partkey"), "quotient": q.cast("decimal(38,16)").cast("string")}).rows()
+
+
 HALVES = "((p_partkey % 21 - 10) * 5)::BIGINT"
 
 
