@@ -17,6 +17,7 @@ ROWS = [
     ("text_view_enum_order_all", "SELECT count(*) FROM orders WHERE o_orderpriority IN ('5-LOW', '3-MEDIUM')"),
     ("arith_int_all", "SELECT count(*) FROM lineitem"),
     ("decimal_div16_all", "SELECT count(*) FROM part"),
+    ("module_union_all", "SELECT count(*) FROM customer"),
 ]
 
 

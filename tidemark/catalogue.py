@@ -1062,8 +1062,18 @@ def downgrade_not_representable(spark, d):
 
 @query("SELECT 'n' || c_nationkey::VARCHAR AS instance, c_custkey FROM customer WHERE c_nationkey < 4")
 def module_union(spark, d):
+    return _instances(spark, d, range(4))
+
+
+@query("SELECT 'n' || c_nationkey::VARCHAR AS instance, c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def module_union_all(spark, d):
+    """One module for every row of nation."""
+    return _instances(spark, d, [r[0] for r in table(spark, d, "nation").select("n_nationkey").collect()])
+
+
+def _instances(spark, d, nations) -> DataFrame:
     space = ModuleSpace()
-    for n in range(4):
+    for n in nations:
         part = select.where(coll(spark, d, "customer"), c("c_nationkey") == n)
         space.install(f"n{n}", {"customers": part})
     return space.all("customers").rows().select("instance", "c_custkey")
