@@ -67,16 +67,21 @@ def stretches(texts: list[bytes | None], size: int = 2 << 20):
         yield part
 
 
-def slices(texts: pa.Array, size: int = 2 << 20):
-    """The same runs of an Arrow array."""
+def numbered_slices(texts: pa.Array, size: int = 8 << 20):
+    """The same runs of an Arrow array, each with the number of its first row."""
     at = held = 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         if i > at and held + n > size:
-            yield texts.slice(at, i - at)
+            yield at, texts.slice(at, i - at)
             at, held = i, 0
         held += n
     if len(texts) > at:
-        yield texts.slice(at)
+        yield at, texts.slice(at)
+
+
+def slices(texts: pa.Array, size: int = 2 << 20):
+    """The runs alone."""
+    return (run for _, run in numbered_slices(texts, size))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
