@@ -449,7 +449,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = slim.join(F.broadcast(picked), F.col("__tox_doc") == F.col("__tox_id")).select("text", "toxic")
     # each text once, copies say nothing new; dealt anew, as few partitions hold most of a large table's sample
     n_parts = max(8, docs.sparkSession.sparkContext.defaultParallelism)
-    sample = materialize(sample.repartition(n_parts, F.xxhash64("text")).groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
+    sample = materialize(sample.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(n_parts, F.xxhash64("text")), "sample")
     count = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not count.get(0) or not count.get(1):
         return nothing
