@@ -84,3 +84,26 @@ def test_ascii_white_space_only(spark):
 
     rows = [("a b\tc\nd\x0be\x0cf\rg",), ("a b c\x1cd",), ("",), (None,), ("  ",)]
     assert [r[0] for r in spark.createDataFrame(rows, "t string").select(word_count(F.col("t"))).collect()] == [7, 1, 0, 0, 0]
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_repeated_rows_come_near_the_target(spark, partitions):
+    rows = [(7, "w " * 6, "a")] * 64 + [(k, "w " * 5, "b") for k in range(40)] + [(None, "w w", "c")] * 30 + [(3, "w " * (1 + k % 9), "d") for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(partitions)
+    got = mixed(df)
+    assert len(got) == len(rows)
+    size, taken, target = by_source(got)
+    want = targets(dict(size))
+    for s in size:
+        assert target[s] == pytest.approx(want[s])
+        assert abs(taken[s] - target[s]) <= 9, (s, taken[s], target[s])
+    count = lambda x: sorted((str(r["doc_id"]), r["__mix_size"], r["__mix_times"]) for r in x)
+    assert count(got) == count(mixed(df)) == count(mixed(df.repartition(3)))
+
+
+def test_many_sources_are_joined_by_salted_shuffles(spark, monkeypatch):
+    rows = [(k, "w " * (1 + k % 7), "abcde"[k % 50 % 5]) for k in range(400)] + [(9000, "w " * 4, "e")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, mixed(df)))
+    monkeypatch.setattr(mx, "BROADCAST_SOURCES", 2)
+    assert sorted(map(str, mixed(df))) == want

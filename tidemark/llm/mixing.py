@@ -30,6 +30,10 @@ WEIGHTS = (5, 2, 1)
 BITS = 10
 #: Up to this many sources their plan is broadcast (a row has under 200 bytes); beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
+#: Tasks that the rows of one source are dealt to then.
+SALTS = 32
+#: Stands for a null document id, before all others.
+FIRST = -(1 << 63)
 
 
 def _hash(doc_id: Column, seed: int) -> Column:
@@ -83,22 +87,47 @@ def plan_sources(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epoc
         low = materialize(low, f"cut{k}")
     shift = 63 - BITS * 2
     last = _join(sized, low).where(F.shiftright("hash", shift) == F.shiftright("low", shift))
-    upto = F.sum("size").over(Window.partitionBy("s").orderBy("hash", "doc_id"))
-    last = last.withColumn("middle", upto - F.col("size") / 2).where(F.col("middle") <= F.col("rest"))
-    last = last.groupBy("s").agg(F.max(F.struct(F.col("hash"), F.col("doc_id"))).alias("cut"))
+    # equal rows are one with a count, so that copies are no burden on the bin's task
+    last = last.groupBy("s", "hash", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"))
+    upto = F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("s").orderBy("hash", "doc_id", "size"))
+    fits = F.floor((F.col("rest") - (upto - F.col("size") * F.col("n"))) / F.col("size") + 0.5)
+    last = last.withColumn("taken", F.when(F.col("size") > 0, F.least(F.col("n"), fits)).otherwise(F.col("n"))).where("taken > 0")
+    last = last.groupBy("s").agg(F.max(F.struct("hash", "doc_id", "size", "taken", "n")).alias("cut"))
     cuts = low.withColumnRenamed("s", "ls").join(last, F.col("ls").eqNullSafe(F.col("s")), "left")
-    cuts = cuts.select(F.col("ls").alias("cs"), F.coalesce(F.col("cut.hash"), F.col("low") - 1).alias("cut_hash"), F.col("cut.doc_id").alias("cut_id"))
+    before = F.struct((F.col("low") - 1).alias("hash"), F.lit(FIRST).alias("doc_id"), F.lit(-1).cast("long").alias("size"), F.lit(1).cast("long").alias("taken"), F.lit(1).cast("long").alias("n"))
+    cuts = cuts.select(F.col("ls").alias("cs"), F.coalesce("cut", before).alias("cut"))
     planned = filled.join(cuts, F.col("source").eqNullSafe(F.col("cs")), "left")
-    cut_hash = F.when(F.col("rest") > 0, F.coalesce(F.col("cut_hash"), F.lit(-1))).otherwise(F.lit(-1))
-    return materialize(planned.select("source", "source_size", "target", "whole", cut_hash.alias("cut_hash"), "cut_id"), "plan")
+    return materialize(planned.select("source", "source_size", "target", "whole", F.when(F.col("rest") > 0, F.col("cut")).alias("cut")), "plan")
 
 
 def _join(sized: DataFrame, low: DataFrame) -> DataFrame:
-    return sized.join(_checked(low), F.col("source").eqNullSafe(F.col("s")))
+    """Rows with what belongs to their source; past a bound, a source's rows are dealt to ``SALTS`` tasks."""
+    if low.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        return sized.join(F.broadcast(low), F.col("source").eqNullSafe(F.col("s")))
+    salted = low.withColumn("salt_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = sized.withColumn("salt", F.pmod(F.xxhash64("hash", "doc_id", F.spark_partition_id()), F.lit(SALTS)))
+    return salt.join(salted, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("salt_s"))).drop("salt", "salt_s")
 
 
-def _checked(sources: DataFrame) -> DataFrame:
-    return F.broadcast(sources) if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else sources
+def _id(column: Column) -> Column:
+    return F.coalesce(column.cast("long"), F.lit(FIRST))
+
+
+def _numbered(x: DataFrame, equal: Column) -> DataFrame:
+    """``x`` with ``nth``, which counts the rows of a source that are ``equal`` to its cut.
+
+    They are counted within the partitions that they were written in, after a
+    sum of the counts of earlier partitions, a row a partition and source.
+    """
+    x = materialize(x, "at_cut").withColumns({"part": F.spark_partition_id(), "pos": F.monotonically_increasing_id()})
+    x = materialize(x, "placed")
+    here = x.where(equal).withColumn("nth", F.row_number().over(Window.partitionBy("part", "s").orderBy("pos")))
+    counts = x.where(equal).groupBy("part", "s").count()
+    before = F.sum("count").over(Window.partitionBy("s").orderBy("part")) - F.col("count")
+    counts = counts.select(F.col("part").alias("cp"), F.col("s").alias("cs"), before.alias("before"))
+    here = here.join(counts, (F.col("part") == F.col("cp")) & F.col("s").eqNullSafe(F.col("cs"))).withColumn("nth", F.col("nth") + F.col("before"))
+    rest = x.where(~F.coalesce(equal, F.lit(False))).withColumn("nth", F.lit(0).cast("long"))
+    return rest.unionByName(here.select(*rest.columns))
 
 
 def mixed(
@@ -112,22 +141,32 @@ def mixed(
     seed: int = 20_011,
 ) -> DataFrame:
     """``docs`` with ``__mix_size``, ``__mix_source_size``, ``__mix_target`` and ``__mix_times``, how often the mix takes the document."""
-    slim = docs.select(F.col(source_col).alias("source"), F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"))
+    slim = docs.select(F.col(source_col).alias("source"), _id(F.col(id_col)).alias("doc_id"), word_count(F.col(text_col)).alias("size"))
     slim = materialize(slim.withColumn("hash", _hash(F.col("doc_id"), seed)), "sized")
     plan = plan_sources(slim, weights, share, max_epochs)
-    plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in plan.columns])
-    out = docs.join(_checked(plan), F.col(source_col).eqNullSafe(F.col("__mix_source")))
-    doc_id, h = F.col(id_col).cast("long"), _hash(F.col(id_col).cast("long"), seed)
-    cut = F.col("__mix_cut_hash")
-    # nulls come first in the order of ids, and a cut without an id lies between hashes
-    tie = (h == cut) & (doc_id.isNull() | (F.col("__mix_cut_id").isNotNull() & (doc_id <= F.col("__mix_cut_id"))))
-    more = F.when((h < cut) | F.coalesce(tie, F.lit(False)), 1).otherwise(0)
-    return out.select(
-        *[docs[c] for c in docs.columns],
-        word_count(docs[text_col]).alias("__mix_size"),
-        "__mix_source_size",
-        "__mix_target",
-        (F.col("__mix_whole") + more).cast("int").alias("__mix_times"),
+    plan = plan.withColumnRenamed("source", "s")
+    split = bool(plan.where("cut.taken < cut.n").limit(1).count())
+    x = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        F.col(source_col).alias("source"),
+        _id(F.col(id_col)).alias("doc_id"),
+        word_count(F.col(text_col)).alias("size"),
+    )
+    x = _join(x.withColumn("hash", _hash(F.col("doc_id"), seed)), plan)
+    own, cut = F.struct("hash", "doc_id", "size"), F.struct("cut.hash", "cut.doc_id", "cut.size")
+    equal = F.col("cut").isNotNull() & (own == cut)
+    if split:
+        x = _numbered(x, equal & (F.col("cut.taken") < F.col("cut.n")))
+        taken = (own < cut) | (equal & (F.col("nth") <= F.col("cut.taken")))
+    else:
+        taken = own <= cut
+    more = F.when(F.col("cut").isNotNull() & taken, 1).otherwise(0)
+    return x.select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns],
+        F.col("size").alias("__mix_size"),
+        F.col("source_size").alias("__mix_source_size"),
+        F.col("target").alias("__mix_target"),
+        (F.col("whole") + more).cast("int").alias("__mix_times"),
     )
 
 
