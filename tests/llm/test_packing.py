@@ -104,3 +104,11 @@ def test_stretches_keep_all_texts_in_order():
     assert [[None if t is None else t.encode() for t in p.to_pylist()] for p in slices(array, 10)] == parts
     assert list(slices(pa.array([], pa.string()))) == []
     assert TOKENS(pa.array([None, "", " \t", "a"], pa.string()).slice(1)) == [b"", b"", library_ids("a").tobytes()]
+
+
+def test_repeated_rows_are_dealt_to_many_groups(spark):
+    df = spark.createDataFrame([(1, "word " * 20)] * 600, "doc_id long, text string").repartition(3)
+    rows = pk.packed(df, capacity=64, group=40).collect()
+    groups = [r["sequence_id"] >> 24 for r in rows]
+    assert len(set(groups)) > 10 and max(map(groups.count, set(groups))) < 100
+    assert sum(r["length"] for r in rows) == 600 * 21

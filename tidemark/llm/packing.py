@@ -2,7 +2,8 @@
 
 A document is tokenized once, white-space-delimited word by word through a
 cache, and cut into full pieces of the sequence length and one shorter rest.
-The rests are dealt at random, by a seeded hash, into groups of a few thousand;
+The rests are dealt at random, by a seeded hash of what they hold and of their
+place in their partition, into groups of a few thousand;
 each group is packed on its own by first-fit decreasing.  A tournament tree
 over the bins' free room finds the first bin with room in logarithmic time.
 Only (id, length) rows move, never tokens or texts: the checksum of a piece is
@@ -175,7 +176,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
         tokens = word_tokens(path)
-        end = struct.pack("<I", end_id)
+        end, before = struct.pack("<I", end_id), 0
         for batch in batches:
             rows, start, length, crc, total = [], [], [], [], []
             for r, ids in enumerate(ids for part in slices(batch.column(1)) for ids in tokens(part)):
@@ -189,9 +190,10 @@ def _pieces(path: str, capacity: int, end_id: int):
                     crc.append(zlib.crc32(piece))
                     total.append(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total, np.array(rows, np.int64) + before)],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"],
             )
+            before += len(batch)
 
     return run
 
@@ -200,10 +202,10 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Every document cut into full pieces and a rest."""
+    """Every document cut into full pieces and a rest; ``place`` counts the rows of a partition."""
     tune_arrow(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, end_id), PIECE)
+    return slim.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, end_id), PIECE + ", place long")
 
 
 def _pack(capacity: int):
@@ -221,7 +223,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, seed:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece."""
     cut = materialize(pieces(docs, capacity=capacity, **options), "pieces")
     groups = max(1, round(cut.count() / group))
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "place"), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(_pack(capacity), PIECE + ", sequence_id long, offset long")
 
 
