@@ -6,12 +6,14 @@ when no child fits, and the number of pieces that are given out on the way.
 Both are worked out once for every node, so counting takes time linear in the
 word, never goes back and never builds a piece.
 
-Words are what the vocabulary's tokenizer takes apart: runs of letters, single
-digits and runs of other characters, with A-Z lower-cased, as UTF-8 bytes with
-an end mark.  A word that pieces cannot cover counts as one unknown token.
-Counts of white-space-delimited words are remembered within bounds.
-
-Defined results: null and empty texts and white space have 0 tokens; repeated
+Words are what the vocabulary's tokenizer takes apart: texts are composed (NFC)
+and lower-cased letter by letter, and parted into contractions, runs of letters,
+single digits and runs of other characters, as UTF-8 bytes with an end mark.  A
+word that pieces cannot cover counts as one unknown token.  Counts of
+white-space-delimited words are remembered within bounds.
+
+Defined results: null and empty texts and white space have 0 tokens; strings of
+special tokens are text like any other; bytes that are no UTF-8 read as U+FFFD; repeated
 rows are counted each; an empty table gives an empty result; in ``counted``
 further columns stay (the name ``__tc_tokens`` is reserved).
 """
@@ -19,6 +21,7 @@ further columns stay (the name ``__tc_tokens`` is reserved).
 from __future__ import annotations
 
 import json
+import unicodedata
 
 import pyarrow as pa
 import regex
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import stretches, tune_arrow
 
-WORDS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# fixed values: the vocabulary's contractions and kinds of words
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: The symbol after a word's last byte.
 END = 256
 
@@ -115,13 +119,21 @@ class Automaton:
         return total
 
 
+def words(text: str) -> list[str]:
+    """The words of a text as the vocabulary's tokenizer has them."""
+    if text.isascii():
+        return WORDS.findall(text.lower())
+    # letter by letter: a sigma that ends a word stays an ordinary one
+    return WORDS.findall("".join(map(str.lower, unicodedata.normalize("NFC", text))))
+
+
 class Counter:
     def __init__(self, path: str, remember: int = 600_000):
         self.automaton, self.known, self.size = Automaton(read_pieces(path)), {}, remember
 
     def word(self, word: bytes) -> int:
         count = self.automaton.count
-        return sum(count((*w.encode(), END)) for w in WORDS.findall(word.lower().decode("utf-8", "replace")))
+        return sum(count((*w.encode(), END)) for w in words(word.decode("utf-8", "replace")))
 
     def __call__(self, texts: list[bytes | None]) -> list[int]:
         texts = [(t or b"").split() for t in texts]
