@@ -14,8 +14,9 @@ in reverse gives the content back.  Everything is DataFrame functions.
 
 Defined results: a null text, role, reference or part list is empty; turns of
 a conversation go by (turn, role, content), null turns first; rows with a null
-conversation id are one conversation; parts of an unknown kind are treated as
-documents; an empty table gives an empty result; further columns are ignored.
+conversation id are one conversation; repeated rows are turns of their own;
+parts of an unknown kind are treated as documents, and their placeholders say
+so; a conversation becomes one row, so it has to fit a task; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,12 +70,15 @@ def visited(parts: Column) -> tuple[Column, Column, Column]:
         usual = F.coalesce(*[F.when(p["kind"] == k, F.lit(n)) for k, n in EXPANDED.items()], F.lit(EXPANDED["document"]))
         return F.coalesce(p["tokens"], usual)
 
+    def kind(p: Column) -> Column:
+        return F.when(p["kind"].isin(*EXPANDED), p["kind"]).otherwise("document")
+
     attachments = F.transform(other, lambda p, i: F.struct(i.alias("place"), p["kind"].alias("kind"), F.coalesce(p["ref"], F.lit("")).alias("ref"), tokens(p).alias("tokens")))
     # the number of a placeholder is how many attachments come before it
     pieces = F.transform(
         parts,
         lambda p, i: F.when(_is_text(p), escaped(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<|"), F.replace(p["kind"], F.lit("|"), F.lit("")), F.lit(":"), F.size(F.filter(F.slice(parts, F.lit(1), i), lambda x: ~_is_text(x))).cast("string"), F.lit("|>"))
+            F.concat(F.lit("<|"), kind(p), F.lit(":"), F.size(F.filter(F.slice(parts, F.lit(1), i), lambda x: ~_is_text(x))).cast("string"), F.lit("|>"))
         ),
     )
     expanded = F.aggregate(attachments, F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
