@@ -3,8 +3,8 @@
 Queries and candidates are dealt by hash into blocks of a bounded number of
 vectors, and a block, not a vector, is the row that moves.  A task gets one
 block of queries and a run of candidate blocks.  A tile multiplies both
-blocks' int8 forms; products of int8 vectors are whole numbers below 2**24, so
-a float32 matrix product gives them exactly.  With scales s and t, a vector x
+blocks' int8 forms; products of up to 1040 components are whole numbers below 2**24, so
+float32 matrix products, of longer vectors in runs, give them exactly.  With scales s and t, a vector x
 is s * (a + e) with |e| <= 1/2 in every component, so a true inner product lies
 within s * t * (|a|_1 / 2 + |b|_1 / 2 + d / 4) of the tile's.  Pairs whose upper
 bound reaches the k-th largest lower bound survive, are recomputed from the
@@ -33,6 +33,8 @@ QUERY_BLOCK = 512
 BLOCK = 2048
 #: Candidate blocks that one task takes one after another.
 RUN = 8
+#: Components whose int8 products add up exactly in float32: 1040 * 127**2 < 2**24.
+EXACT = 1040
 
 
 def taking_part(vector: Column) -> Column:
@@ -65,7 +67,14 @@ def tile(queries: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.nd
     st = s[:, None] * t[None, :]
     norms = np.abs(a).sum(axis=1)[:, None] + np.abs(b).sum(axis=1)[None, :]
     # a float's rounding on top, far below the quantisation error
-    return (a @ b.T) * st, (0.5 * norms + 0.25 * queries.shape[1]) * st * (1 + 1e-6) + 1e-12
+    return product(a, b) * st, (0.5 * norms + 0.25 * queries.shape[1]) * st * (1 + 1e-6) + 1e-12
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers up to 127, exactly: each run of components stays below 2**24."""
+    if a.shape[1] <= EXACT:
+        return a @ b.T
+    return sum((a[:, i : i + EXACT] @ b[:, i : i + EXACT].T).astype(np.float64) for i in range(0, a.shape[1], EXACT))
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
