@@ -88,6 +88,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key that makes up one in so many rows is common; there are at most as many such keys.
+HOT = 1000
+
+
+def join_common(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join on ``key``, of which ``right`` has each value once, with the number ``rows`` of its rows in ``left``.
+
+    Common keys, at most ``HOT``, are broadcast, so that none lands in one
+    task; the others are joined by a shuffle or as the session decides.
+    """
+    total, right = left.count(), materialize(right, "keys")
+    common, rare = (right.where((F.col(rows) * HOT >= total) == x) for x in (True, False))
+    mark = F.broadcast(common.select(key))
+    out = left.join(F.broadcast(common), key)
+    return out.unionByName(left.join(mark, key, "left_anti").join(rare, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize, tune_arrow
+from .common import ASCII_SPACE, join_common, materialize, tune_arrow
 
 SHINGLE = 5
 BANDS = 32
@@ -225,8 +225,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = materialize(pairs, "pairs")
     need = pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
     sets = materialize(texts.join(need.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets")
-    degree = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    dealt = pairs.join(degree, "hub").select("hub", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), "id")
+    degree = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("partners"))
+    degree = degree.withColumn("chunks", F.ceil(F.col("partners") / CHUNK))
+    dealt = join_common(pairs, degree, "hub", "partners").select("hub", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), "id")
     hubs = dealt.select("hub", "chunk").distinct().select("hub", "chunk", F.col("hub").alias("id"), F.lit(False).alias("partner"))
     asked = hubs.unionByName(dealt.withColumn("partner", F.lit(True))).join(sets, "id")
     return asked.groupBy("hub", "chunk").applyInArrow(_compare, "hub long, id long, both long, n_hub long, n long")
@@ -266,7 +267,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _open_links(large: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) across components between members of large buckets that hold several components."""
-    inside = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    inside = materialize(large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "large")
     inside = materialize(_several(inside), "open")
     if inside.isEmpty():
         return inside.select(F.col("id").alias("a"), F.col("id").alias("b"))
@@ -276,30 +277,36 @@ def _open_links(large: DataFrame, labels: DataFrame, texts: DataFrame, threshold
     common = sets.mapInArrow(_exploded, "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("id"))
     own = common.where("docs = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
     size = F.octet_length("shingles") / 8
-    able = sets.join(own, "id", "left").where(size - F.coalesce("own", F.lit(0)) >= size * threshold - 1e-9).select("id")
-    inside = materialize(_several(inside.join(able, "id")), "able")
+    able = sets.join(own, "id", "left").where(size - F.coalesce("own", F.lit(0)) >= size * threshold - 1e-9)
+    able = materialize(able.select("id", F.floor(F.log(size) / math.log(1 / threshold) - 1e-9).alias("class")), "classes")
+    inside = materialize(_several(materialize(inside.join(able.select("id"), "id"), "left")), "able")
     if inside.isEmpty():
         return inside.select(F.col("id").alias("a"), F.col("id").alias("b"))
     # buckets that share members are compared once, as one cluster
     least = inside.groupBy("bucket").agg(F.min("id").alias("b"))
     clusters = components(inside.join(least, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
-    docs = inside.select("id", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id")
+    docs = inside.select("id", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id").join(able, "id")
     docs = materialize(docs, "clusters")
-    counts = docs.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
-    sizes = counts.groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("n"))
-    sizes = sizes.select("cluster", F.col("m.component").alias("main"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).alias("lefts"), F.ceil(F.col("n") / BLOCK).alias("rights"))
-    docs = docs.join(sizes, "cluster")
+    main = docs.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("m"))
+    docs = docs.join(main.select("cluster", F.col("m.component").alias("main")), "cluster")
+    # sizes of linked documents differ by less than the threshold, so classes that are no neighbours do not meet
+    part = F.xxhash64("cluster", "class").alias("part")
+    left = docs.where("component <> main").select(part, "id", "component")
+    right = docs.select("cluster", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), "id", "component").select(part, "id", "component")
+    blocks = left.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("lefts")).join(right.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("rights")), "part")
+    blocks = materialize(blocks, "blocks")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    left = docs.where("component <> main").select("cluster", F.pmod(F.xxhash64("id"), "lefts").alias("left"), F.explode(upto("rights")).alias("right"), "id", "component", F.lit(True).alias("is_left"))
-    right = docs.where("lefts > 0").select("cluster", F.explode(upto("lefts")).alias("left"), F.pmod(F.xxhash64("id", F.lit(1)), "rights").alias("right"), "id", "component", F.lit(False).alias("is_left"))
+    left = left.join(blocks, "part").select(F.col("part").alias("cluster"), F.pmod(F.xxhash64("id"), "lefts").alias("left"), F.explode(upto("rights")).alias("right"), "id", "component", F.lit(True).alias("is_left"))
+    right = right.join(blocks, "part").select(F.col("part").alias("cluster"), F.explode(upto("lefts")).alias("left"), F.pmod(F.xxhash64("id", F.lit(1)), "rights").alias("right"), "id", "component", F.lit(False).alias("is_left"))
     asked = left.unionByName(right).join(sets, "id")
     return asked.groupBy("cluster", "left", "right").applyInArrow(_block_links(threshold), "a long, b long").distinct()
 
 
 def _several(inside: DataFrame) -> DataFrame:
     """Rows of buckets with several components."""
-    mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return inside.select("bucket", "id", "component").join(mixed, "bucket")
+    inside = inside.select("bucket", "id", "component")
+    mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
+    return join_common(inside, mixed.select("bucket", "members"), "bucket", "members").drop("members")
 
 
 def _block_links(threshold: float):
@@ -361,7 +368,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = [F.min(F.struct(F.xxhash64("id", F.lit(k)), F.col("id"))).alias(f"h{k}") for k in range(HUBS)]
     buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *order).where("size > 1")
     buckets = buckets.select("bucket", "size", F.array_distinct(F.array(*[F.col(f"h{k}.id") for k in range(HUBS)])).alias("hubs"))
-    inside = materialize(spread.join(buckets, "bucket"), "buckets")
+    spread = materialize(spread, "spread")
+    inside = materialize(join_common(spread, buckets, "bucket", "size"), "buckets")
     starred = inside.select(F.explode("hubs").alias("hub"), "id").where("hub <> id")
     small = inside.where(F.col("size").between(3, SMALL)).select("bucket", "id")
     paired = small.join(small.select("bucket", F.col("id").alias("hub")), "bucket").where("hub < id").select("hub", "id")
