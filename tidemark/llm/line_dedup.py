@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize, shuffle_partitions, tune_arrow
+from .common import ASCII_SPACE, join_common, materialize, shuffle_partitions, tune_arrow
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -83,26 +83,28 @@ def _lines(min_chars: int):
 
 
 def _runs(batches):
-    """Of rows sorted by line and document: (line, documents, largest document) for every run of a line."""
+    """Of rows sorted by line and document: (line, rows, documents, largest document) for every run of a line."""
     line = doc = None
-    docs = 0
+    docs = rows = 0
     for batch in batches:
         out = []
         for h, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if h != line:
                 if line is not None:
-                    out.append((line, docs, doc))
-                line, doc, docs = h, d, 1
-            elif d != doc:  # the first occurrence in the next document
+                    out.append((line, rows, docs, doc))
+                line, doc, docs, rows = h, d, 1, 1
+                continue
+            rows += 1
+            if d != doc:  # the first occurrence in the next document
                 doc, docs = d, docs + 1
         yield _run_batch(out)
     if line is not None:
-        yield _run_batch([(line, docs, doc)])
+        yield _run_batch([(line, rows, docs, doc)])
 
 
-def _run_batch(rows):
-    line, docs, last = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(line, pa.binary()), pa.array(docs, pa.int64()), pa.array(last, pa.int64())], names=["line", "docs", "last"])
+def _run_batch(out):
+    line, rows, docs, last = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(line, pa.binary()), pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(last, pa.int64())], names=["line", "rows", "docs", "last"])
 
 
 def _bitmaps(batches):
@@ -120,10 +122,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = slim.mapInArrow(_lines(min_chars), "line binary, doc_id long, mark long, pos int, n_lines int")
     lines = materialize(lines, "lines")
     dealt = lines.select("line", "doc_id", "pos").repartitionByRange(shuffle_partitions(spark), "line", "doc_id").sortWithinPartitions("line", "doc_id", "pos")
-    runs = dealt.mapInArrow(_runs, "line binary, docs long, last long")
-    shared = runs.groupBy("line").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-    shared = materialize(shared.where(F.col("docs") >= min_docs).select("line", "last"), "shared_lines")
-    gone = lines.join(shared, "line").where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    runs = dealt.mapInArrow(_runs, "line binary, rows long, docs long, last long")
+    shared = runs.groupBy("line").agg(F.sum("rows").alias("rows"), F.sum("docs").alias("docs"), F.max("last").alias("last"))
+    shared = shared.where(F.col("docs") >= min_docs).select("line", "rows", "last")
+    gone = join_common(lines, shared, "line", "rows").where(~F.col("doc_id").eqNullSafe(F.col("last")))
     gone = gone.groupBy("doc_id", "mark").agg(F.first("n_lines").alias("n_lines"), F.collect_set("pos").alias("dropped"))
     return materialize(gone.select("doc_id", "mark", "n_lines", "dropped").mapInArrow(_bitmaps, "__ld_id long, __ld_mark long, __ld_keep binary"), "bitmaps")
 
