@@ -96,6 +96,7 @@ class Engine:
     def __init__(self, spark: SparkSession, model: Model, frames: dict[tuple, DataFrame], now: datetime, hosts: Registry | None = None):
         self.spark, self.model, self.now, self.hosts = spark, model, now, hosts or Registry()
         self.history: list[dict[tuple, DataFrame]] = [frames]
+        self.requests = 0
 
     @classmethod
     def load(cls, spark: SparkSession, package: str | Mapping, now: datetime = datetime(2026, 1, 1, tzinfo=UTC), tables: Mapping[str, DataFrame] | None = None, hosts: Registry | None = None) -> Engine:
@@ -142,7 +143,8 @@ class Engine:
         return {"views": {n: {p: f.kind + "?" * f.optional for p, f in self.model.params.get(n, {}).items()} for n in self.model.public}, "calls": sorted(self.model.calls), "head": self.head}
 
     def compiler(self, frames: Mapping[tuple, DataFrame], params: Mapping[str, Val] | None = None, position: str = "view") -> Compiler:
-        return Compiler(self.model, frames, params or {}, F.lit(self.now).cast("timestamp"), self.model.rounding, self.hosts, position)
+        self.requests += 1
+        return Compiler(self.model, frames, params or {}, F.lit(self.now).cast("timestamp"), self.model.rounding, self.hosts, position, f"{self.head}.{self.requests}")
 
     def check_static(self) -> None:
         """Compiles all public views once, so that what is wrong with them is known before any row is read."""
@@ -265,7 +267,8 @@ class Engine:
             if n in columns and not f.optional:
                 columns[n] = replace(columns[n], optional=False, decl=f)
         row = Row(columns, shape, shape.ids())
-        ctx = Ctx(new, row, {}, shape.ids())
+        # new rows may have no key yet: their number tells their identities apart
+        ctx = Ctx(new.withColumn("__row", F.monotonically_increasing_id()), row, {}, ["__row"])
         done: set[str] = set()
 
         def fill(n: str) -> None:

@@ -27,6 +27,69 @@ def rem(a: Column, b: Column) -> Column:
     return a % b
 
 
+#: The type that decimals are computed in.
+EXACT = "decimal(38,16)"
+#: Digits after the point of both factors, so that a product has 16 at most.
+_FACTORS = ((5, 5), (8, 8), (0, 16), (16, 0), (10, 6), (6, 10), (12, 4), (4, 12), (14, 2), (2, 14))
+
+
+def _refused(what: str) -> Column:
+    return F.raise_error(F.lit(f"{what} beyond 38 digits")).cast(EXACT)
+
+
+def _first(choices: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    out = None
+    for fits, then in choices:
+        out = F.when(fits, then) if out is None else out.when(fits, then)
+    return out.otherwise(otherwise)
+
+
+def term(x: Column) -> Column:
+    """An operand of a sum or remainder that Spark works out without rounding."""
+    return x.cast("decimal(37,16)")
+
+
+def product(a: Column, b: Column) -> Column:
+    """a * b, every digit of it, or an error."""
+    a, b = a.cast(EXACT), b.cast(EXACT)
+    cut = lambda x, precision, scale: x.try_cast(f"decimal({precision},{scale})")
+    choices = [((cut(a, 19, s) == a) & (cut(b, 18, t) == b), (cut(a, 19, s) * cut(b, 18, t)).cast(EXACT)) for s, t in _FACTORS]
+    return F.when(a.isNotNull() & b.isNotNull(), _first(choices, _refused("a product")))
+
+
+def quotient(a: Column, b: Column, mode: str = "half_up") -> Column:
+    """a / b at 16 digits after the point, rounded once from the exact quotient.
+
+    Both are whole numbers of their last digit's unit; the whole part and the
+    16 digits come from two integer divisions, and what is left over decides
+    how to round.
+    """
+    if mode not in ROUNDINGS:
+        raise ValueError(f"no rounding mode {mode}")
+    a, b = a.cast(EXACT), b.cast(EXACT)
+    scales = (4, 8, 12, 16, 0)
+    both = {s: (a.try_cast(f"decimal(22,{s})") == a) & (b.try_cast(f"decimal(22,{s})") == b) for s in scales}
+    unit = lambda x, s: (F.abs(x.try_cast(f"decimal(22,{s})")) * F.lit(10**s).cast(f"decimal({s + 1},0)")).cast("decimal(22,0)")
+    p, q = (_first([(both[s], unit(x, s)) for s in scales], _refused("a quotient").cast("decimal(22,0)")) for x in (a, b))
+    whole = ((p - p % q).cast("decimal(22,0)") / q).cast("decimal(22,0)")
+    shifted = (p % q).cast("decimal(21,0)") * F.lit(10**DIVISION_SCALE).cast("decimal(17,0)")
+    digits = F.call_function("div", shifted, q)
+    left, negative = shifted % q, (a < 0) != (b < 0)
+    # half of the divisor without leaving whole numbers
+    half = (left.cast("decimal(23,0)") * F.lit(2).cast("decimal(1,0)")).cast("decimal(24,0)")
+    up = {
+        "half_up": half >= q,
+        "half_even": (half > q) | ((half == q) & (digits % 2 == 1)),
+        "floor": negative & (left > 0),
+        "ceiling": ~negative & (left > 0),
+        "toward_zero": F.lit(False),
+        "away_from_zero": left > 0,
+    }[mode]
+    part = (digits + F.when(up, 1).otherwise(0)).cast("decimal(17,0)") * F.lit("0.0000000000000001").cast("decimal(16,16)")
+    size = (whole.cast("decimal(21,0)") + part.cast("decimal(17,16)")).cast(EXACT)
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(negative, -size).otherwise(size))
+
+
 def decimal_div(a: Column, b: Column) -> Column:
     """a / b for a up to DECIMAL(18,2) and a whole b, half away from zero at scale 16."""
     return a.cast("decimal(18,2)") / b.cast("decimal(13,0)")
@@ -62,10 +125,10 @@ def sum_of(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0))
 
 
-def avg_of(x: Column) -> Column:
+def avg_of(x: Column, mode: str = "half_up") -> Column:
     """Exact division of the sum by the count at 16 digits; none for no values."""
     n = F.count(x)
-    return F.when(n > 0, F.sum(x).cast("decimal(18,2)") / F.when(n > 0, n).cast("decimal(13,0)"))
+    return F.when(n > 0, quotient(F.sum(x), F.when(n > 0, n), mode))
 
 
 def distinct_of(x: Column) -> Column:

@@ -91,9 +91,10 @@ class Ctx:
 
 
 class Compiler:
-    def __init__(self, model: Model, frames: Mapping[tuple, DataFrame], params: Mapping[str, Val], now: Column, rounding: str = "half_up", hosts: Registry | None = None, position: str = "view"):
+    def __init__(self, model: Model, frames: Mapping[tuple, DataFrame], params: Mapping[str, Val], now: Column, rounding: str = "half_up", hosts: Registry | None = None, position: str = "view", request: str = "0"):
         self.model, self.frames, self.params, self.now, self.rounding = model, frames, dict(params), now, rounding
         self.hosts, self.position = hosts or Registry(), position
+        self.request, self.uuids = request, 0
         self.locals: dict[str, Rel] = {}
         self.computing: list[tuple] = []
         root = self.scan(model.root)
@@ -585,7 +586,7 @@ class Compiler:
         if name == "sum":
             return Val(sum_of(pick(x.col)).cast(SCALARS[x.kind]), x.kind)
         if name == "avg":
-            return Val(avg_of(pick(x.col)), "decimal", True)
+            return Val(avg_of(pick(x.col), self.rounding), "decimal", True)
         if name == "distinct":
             return Val(distinct_of(pick(x.col)), "set", decl=Field("set", element=x.decl or Field(x.kind)))
         f = F.min if name == "min" else F.max
@@ -929,10 +930,10 @@ class Compiler:
             if col is None:
                 col = arith.int_div(x.col, y.col) if mark == "/" else arith.rem(x.col, y.col)
             return Val(col, "int")
-        p, q = (v.col.cast("decimal(18,2)") if v.kind == "int" else v.col for v in (x, y))
         if mark == "/":
-            return Val((x.col.cast("decimal(20,4)") / y.col.cast("decimal(20,4)")).cast("decimal(38,16)"), "decimal")
-        col = {"+": p + q, "-": p - q, "*": x.col.cast("decimal(19,5)") * y.col.cast("decimal(18,5)"), "%": p % q}[mark]
+            return Val(arith.quotient(x.col, y.col, self.rounding), "decimal")
+        p, q = arith.term(x.col), arith.term(y.col)
+        col = arith.product(x.col, y.col) if mark == "*" else {"+": p + q, "-": p - q, "%": p % q}[mark]
         return Val(col.cast(SCALARS["decimal"]), "decimal")
 
     def membership(self, left: Node, right: Node, ctx: Ctx) -> Val:
@@ -972,7 +973,9 @@ class Compiler:
         if name == "time.duration":
             return Val(F.lit(times.duration(args[0][0])), "duration")
         if name == "uuid":
-            return Val(times.seeded_uuid("request", self.now, *[F.col(c) for c in ctx.ids]), "uuid")
+            # the request, the place in it, and the row, or among new rows its number
+            self.uuids += 1
+            return Val(times.seeded_uuid(f"{self.request}.{self.uuids}", self.now, *[F.col(c) for c in ctx.ids if c in ctx.df.columns]), "uuid")
         functions = {
             "string.lower": (text.lower, "text"),
             "string.upper": (text.upper, "text"),

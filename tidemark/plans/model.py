@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
+from ..functions.arith import ROUNDINGS
 from .language import Node, parse
 from .view import StaticError
 
@@ -16,7 +17,7 @@ SCALARS = {
     "text": T.StringType(),
     "bool": T.BooleanType(),
     "int": T.LongType(),
-    "decimal": T.DecimalType(38, 10),
+    "decimal": T.DecimalType(38, 16),
     "bytes": T.BinaryType(),
     "uuid": T.StringType(),
     "date": T.DateType(),
@@ -95,6 +96,17 @@ class Shape:
         return T.StructType(out + [T.StructField(n, self.fields[n].type) for n in self.stored()])
 
 
+def _rounding(semantics) -> str:
+    """The declared rounding of decimal division; nothing else can be declared."""
+    division = semantics.get("decimal_division", {}) if isinstance(semantics, dict) else None
+    if not isinstance(division, dict) or set(semantics) - {"decimal_division"} or set(division) - {"rounding"}:
+        raise StaticError("$semantics declares decimal_division: { rounding } alone")
+    mode = division.get("rounding", "half_up")
+    if mode not in ROUNDINGS:
+        raise StaticError(f"no rounding mode {mode}")
+    return mode
+
+
 class Model:
     """The root's shape with all collections under it, and the public views and calls."""
 
@@ -111,7 +123,7 @@ class Model:
             self.params[name] = {p: declared(t) for p, t in entry.get("$params", {}).items()}
         self.calls = {f"{name}.{m}": _program(p) for name, entry in model.get("$public", {}).items() for m, p in entry.get("$mut", {}).items()}
         self.seed = package.get("$data", {})
-        self.rounding = package.get("$semantics", {}).get("$rounding", "half_up")
+        self.rounding = _rounding(package.get("$semantics", {}))
         self._resolve(self.root)
 
     def shapes(self) -> list[Shape]:
