@@ -27,6 +27,10 @@ def test_states_fold_from_the_log(spark):
     assert log.corrupt(df).count() == 0 and log.gaps(df).count() == 0
     bad = df.unionByName(spark.createDataFrame([(8, "insert", "b", None, "x")], LOG))
     assert log.corrupt(bad).count() == 1 and [r["seq"] for r in log.gaps(bad).collect()] == [6]
+    odd = [(7, "update", "z", None, "x"), (8, "delete", "q", None, None), (9, "rekey", "y", "w", "x"), (10, "rekey", "b", "c", "4"), (11, "update", "c", None, "5")]
+    assert sorted(r["seq"] for r in log.corrupt(df.unionByName(spark.createDataFrame(odd, LOG))).collect()) == [7, 8, 9, 10]
+    swap = [(7, "rekey", "b", "c", "4"), (7, "rekey", "c", "b", "3")]
+    assert log.corrupt(df.unionByName(spark.createDataFrame(swap, LOG))).count() == 0
 
 
 def test_positions_have_one_owner(spark, tmp_path):
@@ -67,6 +71,9 @@ def test_blobs_are_stored_once(spark, tmp_path):
     path = f"file://{tmp_path}/blobs"
     assert tables.write_blobs(df, path, "content", "media", "name").count() == 2
     assert spark.read.parquet(path).count() == 1
+    more = df.unionByName(spark.createDataFrame([(b"y", "t", "3")], df.schema))
+    assert tables.write_blobs(more, path, "content", "media", "name").count() == 3
+    assert sorted(bytes(r["content"]) for r in spark.read.parquet(path).collect()) == [b"x", b"y"]
 
 
 def test_relaxed_documents():

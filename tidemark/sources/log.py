@@ -8,6 +8,7 @@ what a snapshot already holds is not folded again.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,11 +47,13 @@ def advance(snapshot: DataFrame, log: DataFrame, seq_from: int, seq_to: int) ->
 
 
 def corrupt(log: DataFrame) -> DataFrame:
-    """Operations that cannot follow what came before: a second insert, or a change of nothing."""
-    order = Window.partitionBy("id").orderBy("seq", "op")
-    seen = _touches(log).withColumn("before", F.lag("op").over(order))
+    """Operations that cannot follow what came before: an insert of, or a rekey to, what is there, or a change of nothing."""
+    moved = log.withColumn("op", F.when(F.col("op") == "rekey", "arrive").otherwise(F.col("op"))).withColumn("id", F.when(F.col("op") == "arrive", F.col("new_id")).otherwise(F.col("id")))
+    left = log.where("op = 'rekey'").withColumn("op", F.lit("delete"))
+    order = Window.partitionBy("id").orderBy("seq", F.col("op") != "delete", "op")
+    seen = moved.unionByName(left).select("seq", "op", "id", "payload").withColumn("before", F.lag("op").over(order))
     absent = F.col("before").isNull() | (F.col("before") == "delete")
-    return seen.where(((F.col("op") == "insert") & ~absent) | ((F.col("op") == "delete") & absent))
+    return seen.where(F.when(F.col("op").isin("insert", "arrive"), ~absent).otherwise(absent))
 
 
 def gaps(log: DataFrame) -> DataFrame:
@@ -64,9 +67,10 @@ def gaps(log: DataFrame) -> DataFrame:
 class ChangeLog:
     """A log in a folder: one Parquet folder for each position, taken by a single writer.
 
-    A commit writes its rows under a temporary name and then renames the folder;
-    the rename fails where the position is taken, so a position has one owner
-    and is seen whole or not at all.
+    A commit writes its rows under a name of its own and then renames the folder.
+    Where the position is taken the rename fails, or moves the draft into the
+    owner's folder, where readers overlook it and it is removed again; so a
+    position has one owner and is seen whole or not at all.
     """
 
     def __init__(self, spark: SparkSession, path: str, payload: str):
@@ -85,11 +89,15 @@ class ChangeLog:
     def commit(self, changes: DataFrame, expected: int) -> int:
         """Appends changes as the position after ``expected``, or fails if someone was faster."""
         seq = expected + 1
-        target, draft = self._Path(f"{self.path}/seq={seq}"), self._Path(f"{self.path}/_draft-{seq}")
+        name = f"_draft-{seq}-{uuid.uuid4().hex}"
+        target, draft = self._Path(f"{self.path}/seq={seq}"), self._Path(f"{self.path}/{name}")
         if self.head() != expected:
             raise RuntimeError(f"the log has moved on to {self.head()}")
-        changes.select("op", "id", "new_id", "payload").write.mode("overwrite").parquet(draft.toString())
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        changes.select("op", "id", "new_id", "payload").write.parquet(draft.toString())
+        inside = self._Path(f"{self.path}/seq={seq}/{name}")
+        if self._fs.exists(target) or not self._fs.rename(draft, target) or self._fs.exists(inside):
+            for path in (draft, inside):
+                self._fs.delete(path, True)
             raise RuntimeError(f"position {seq} is taken")
         return seq
 

@@ -85,5 +85,10 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataF
 def write_blobs(df: DataFrame, path: str, content: str, media: str, name: str) -> DataFrame:
     """Stores contents once each, by their SHA-512; gives descriptors."""
     described = df.withColumn("sha512", F.sha2(content, 512))
-    described.select("sha512", F.col(content).alias("content")).dropDuplicates(["sha512"]).write.mode("append").parquet(path)
+    new = described.select("sha512", F.col(content).alias("content")).dropDuplicates(["sha512"])
+    jvm = df.sparkSession.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        new = new.join(df.sparkSession.read.parquet(path).select("sha512"), "sha512", "left_anti")
+    new.write.mode("append").parquet(path)
     return described.select(F.struct("sha512", F.octet_length(content).cast("long").alias("bytes"), F.col(media).alias("media"), F.col(name).alias("name")).alias("blob"))
