@@ -66,6 +66,12 @@ def test_label_model_finds_accuracies_and_wrong_labels():
     assert ((post > 0.5) == y).mean() > (gold == y).mean() - 0.01
 
 
+def test_without_voters_the_labels_decide():
+    gold = np.array([0, 0, 0, 1])
+    post, _ = tx.label_model(np.zeros((4, 0), np.uint8), gold)
+    assert ((post > 0.5) == gold).all()
+
+
 def test_voters_of_one_language_say_nothing_about_another():
     r = np.random.default_rng(6)
     y, rare = r.random(6000) < 0.3, r.random(6000) < 0.1

@@ -333,6 +333,8 @@ def correlation_sums(votes: np.ndarray, post: np.ndarray, fire: np.ndarray, bloc
     products follow from those of the votes, a block of voters at a time.
     """
     n, m = votes.shape
+    if not m:
+        return np.ones(0)
     p = np.stack([1 - post, post])
     held = np.stack([np.concatenate([c @ votes[:, a : a + block] for a in range(0, m, block)]) for c in p])
     inner = p @ p.T
