@@ -34,7 +34,7 @@ def test_random_vectors_in_many_blocks(spark):
     rows = [(k, [float(np.float32(x)) for x in r.normal(size=16)]) for k in range(900)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     want = brute(rows, 20)
-    for options in ({}, {"query_block": 7, "block": 40, "run": 3}):
+    for options in ({}, {"query_block": 7, "block": 40, "run": 3}, {"query_block": 7, "block": 40, "run": 3, "crowd": 1}, {"crowd": 0}):
         assert got(df, **options) == want
 
 
@@ -42,7 +42,37 @@ def test_many_equal_vectors(spark):
     r = random.Random(2)
     same = [1.0, 2.0, -1.0]
     rows = [(k, same if k % 3 == 0 else [r.choice([0.5, 1.0, -2.0]) for _ in range(3)]) for k in range(400)]
-    assert got(spark.createDataFrame(rows, SCHEMA), block=64, run=2, query_block=8) == brute(rows, 20)
+    want = brute(rows, 20)
+    for crowd in (0, 2, 32):
+        assert got(spark.createDataFrame(rows, SCHEMA), block=64, run=2, query_block=8, crowd=crowd) == want
+
+
+def test_near_copies_that_codes_cannot_tell_apart(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, [1.0 + float(np.float32(r.normal() * 1e-5)), 2.0, -1.0, float(k % 3 == 0)]) for k in range(600)]
+    rows = [(k, [float(np.float32(x)) for x in v]) for k, v in rows]
+    for crowd in (1, 32):
+        assert got(spark.createDataFrame(rows, SCHEMA), block=100, run=2, query_block=8, crowd=crowd) == brute(rows, 20)
+
+
+def test_survivors_hold_every_neighbour():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 8)) * 10.0 ** r.integers(-3, 3, size=(300, 1))
+    part = [nn.Block(np.arange(300)[i], np.arange(300)[i], *nn.quantised(x[i])) for i in np.array_split(np.arange(300), 4)]
+    found = nn.Survivors(part[0], 5, 1000)
+    for p in part:
+        found.meet(p)
+    got = {(t["asked"], t["cand"]) for t in found.table().to_pylist()}
+    for q in part[0].rows:
+        scores = sorted((-x[q] @ x[j], j) for j in range(300) if j != q)
+        assert {(q, j) for _, j in scores[:5]} <= got
+    assert len(got) < 75 * 299 / 2
+
+
+def test_tiny_vectors(spark):
+    rows = [(k, [5e-324 * (k + 1), 1e-310]) for k in range(25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(df) == brute(rows, 20)
 
 
 def test_odd_rows(spark):
