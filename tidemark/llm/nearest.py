@@ -267,7 +267,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     found = _recomputed(pairs.join(crowded, "asked", "left_anti"), part)
     if left := crowded.count():
         queries = part.where("query").join(crowded.withColumnRenamed("asked", "row"), "row", "left_semi")
-        found = found.unionByName(_met(queries, part, n, left, sizes, codes=False).applyInArrow(_search(k), "query_id long, vec_id long, score double"))
+        # few queries: a task for each block of candidates
+        met = _met(queries, part, n, left, (query_block, block, 1), codes=False)
+        found = found.unionByName(materialize(met.applyInArrow(_search(k), "query_id long, vec_id long, score double"), "met"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
