@@ -242,7 +242,7 @@ def _recomputed(pairs: DataFrame, part: DataFrame) -> DataFrame:
     asked = part.where("query").select(F.col("row").alias("asked"), F.col("vec_id").alias("query_id"), F.col("vector").alias("x"))
     both = join_common(pairs, there, "cand", "rows").join(asked, "asked")
     # summed in the order of the components
-    score = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda total, xy: total + xy)
+    score = F.aggregate(F.zip_with("x", "y", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, xy: total + xy)
     return both.select("query_id", "vec_id", score.alias("score"))
 
 
@@ -252,7 +252,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     tune_arrow(spark, 2048)
     sizes = query_block, block, run
     part = vectors.where(taking_part(F.col(vector_col)) & F.col(id_col).isNotNull())
-    part = part.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    # floats stay floats while they move
+    kind = "array<float>" if vectors.select(vector_col).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    part = part.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
     part = materialize(part.withColumns({"dim": F.size("vector"), "row": F.monotonically_increasing_id()}), "vectors")
     n, m = part.agg(F.count(F.lit(1)), F.count_if("query")).first()
     met = _met(part.where("query"), part, n, m, sizes, codes=True)
