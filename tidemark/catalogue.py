@@ -1143,6 +1143,15 @@ def text_view_has(spark, d):
     return _text(spark, d, ".customer { c_custkey, large: has(/orders[:o | o.o_custkey == .c_custkey && o.o_totalprice > 400000]) }")
 
 
+@query("""SELECT c_custkey, (n - 1)::INTEGER AS place, o_orderkey FROM (
+    SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders
+) WHERE n <= 3""")
+def text_view_nested_top(spark, d):
+    """The three dearest orders of every customer, in a nested view that is sorted downwards; its places are shown as rows."""
+    rows = _text(spark, d, ".customer { c_custkey, dearest: /orders[:o | o.o_custkey == .c_custkey] { o_orderkey, $sort: [-o_totalprice], $limit: 3 } }")
+    return rows.select("c_custkey", F.posexplode("dearest").alias("place", "order")).select("c_custkey", "place", "order.o_orderkey")
+
+
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_nationkey IN (7, 3)")
 def text_view_keys(spark, d):
     return _text(spark, d, ".nation[7, 3] { n_nationkey, n_name }")

@@ -405,6 +405,8 @@ class Compiler:
     def bounded(self, rel: Rel) -> Rel:
         if not rel.skip and rel.limit is None:
             return rel
+        if rel.outside:
+            raise StaticError("the first rows for each row outside are shown, but not read any further")
         df = rel.df.orderBy(*self.ordering(rel))
         df = df.offset(rel.skip) if rel.skip else df
         df = df.limit(rel.limit) if rel.limit is not None else df
@@ -416,7 +418,9 @@ class Compiler:
     # projection and grouping
 
     def project(self, base: Rel, block: tuple[Node, ...], ctx: Ctx) -> Rel:
-        base = self.bounded(self.now_if_temporal(base))
+        base = self.now_if_temporal(base)
+        if base.skip or base.limit is not None:
+            base = self.bounded(self.closed(base, ctx) if ctx is self.top else base)
         if base.unbounded:
             raise StaticError("an endless series is read only at an instant or between two")
         directives = {m[0]: m[1] for m in block if m.op == "directive"}
@@ -693,12 +697,17 @@ class Compiler:
 
     def nested(self, rel: Rel, ctx: Ctx) -> Val:
         rel = self.whole(self.now_if_temporal(rel))
-        keys = [c for c, _ in rel.order] + rel.ids
-        if any(d for _, d in rel.order):
-            raise StaticError("a nested view is sorted upwards")
-        item = F.struct(*[x.alias(f"s{i}") for i, x in enumerate(y for k in keys for y in (F.col(k).isNull(), F.col(k)))], F.struct(*[F.col(c).alias(n) for n, c in rel.outs]).alias("row"))
-        out = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["row"])
-        return self.joined_aggregate(rel, Val(out, "view"), ctx, empty=F.array())
+        keys = [*rel.order, *((c, False) for c in rel.ids)]
+        item = F.struct(*[x.alias(f"s{i}") for i, x in enumerate(y for k, _ in keys for y in (F.col(k).isNull(), F.col(k)))], F.struct(*[F.col(c).alias(n) for n, c in rel.outs]).alias("row"))
+        rows = F.collect_list(item)
+        if any(d for _, d in keys):
+            down = [d for _, d in keys for _ in range(2)]
+            rows = F.array_sort(rows, lambda x, y: _compared(x, y, down))
+        else:
+            rows = F.array_sort(rows)
+        if rel.skip or rel.limit is not None:
+            rows = F.slice(rows, rel.skip + 1, F.size(rows) if rel.limit is None else F.lit(rel.limit))
+        return self.joined_aggregate(replace(rel, skip=0, limit=None), Val(F.transform(rows, lambda x: x["row"]), "view"), ctx, empty=F.array())
 
     def joined_aggregate(self, rel: Rel, v: Val, ctx: Ctx, empty: Column | None) -> Val:
         """An aggregate over the view's rows for each row of the context, by a grouped left join."""
@@ -1096,6 +1105,16 @@ def _hours(period: Column) -> Column:
     return F.regexp_extract(period, r"^PT(\d+)H$", 1).try_cast("long") * 3_600_000_000
 
 
+def _compared(x: Column, y: Column, down: list[bool]) -> Column:
+    """-1, 0 or 1 by the parts s0, s1, … of two records, each upwards or downwards."""
+    out = None
+    for i, d in enumerate(down):
+        p, q = (y, x) if d else (x, y)
+        for test, sign in ((p[f"s{i}"] < q[f"s{i}"], -1), (p[f"s{i}"] > q[f"s{i}"], 1)):
+            out = F.when(test, sign) if out is None else out.when(test, sign)
+    return out.otherwise(0)
+
+
 def _column_name(v: Val) -> str:
     return v.col._jc.toString()
 
