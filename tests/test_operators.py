@@ -134,6 +134,19 @@ def test_coverage_prunes_and_ends_at_cycles(spark):
     assert sorted(r["node"] for r in got) == ["x", "y"]
 
 
+def test_a_recursive_query_has_no_limit_of_rows(spark):
+    spark.range(1, 500).selectExpr("id", "CASE WHEN id >= 5 THEN id DIV 5 END AS up", "id % 50 AS size").createOrReplaceTempView("many_nodes")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        out = recursion.coverage_sql(spark, "many_nodes", "id", "up", "size <> 49")
+        rows = {(r["node"], r["depth"]) for r in out.collect()}
+        assert out.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert rows == {(r["node"], r["depth"]) for r in recursion.coverage(spark.table("many_nodes"), "id", "up", include="size <> 49").collect()}
+    assert len(rows) > 400
+
+
 def test_cascades_in_a_circle_remove_each_row_once(spark):
     lefts = spark.createDataFrame([("l1", "r1")], "id string, partner string")
     rights = spark.createDataFrame([("r1", "l1")], "id string, partner string")

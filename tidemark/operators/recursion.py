@@ -38,7 +38,10 @@ def coverage(nodes: DataFrame, node: str, parent: str, roots: str = "parent IS N
 
 
 def coverage_sql(spark, table: str, node: str, parent: str, include: str = "true", max_depth: int = 100) -> DataFrame:
-    """The same as one recursive query, for trees of moderate depth."""
+    """The same as one recursive query, for trees of moderate depth and of any number of rows.
+
+    ``LIMIT ALL`` lifts ``spark.sql.cteRecursionRowLimit``, past which a recursive query fails.
+    """
     return spark.sql(
         f"""
         WITH RECURSIVE t(node, root, depth, path) MAX RECURSION LEVEL {max_depth} AS (
@@ -48,7 +51,7 @@ def coverage_sql(spark, table: str, node: str, parent: str, include: str = "true
           FROM t JOIN {table} c ON c.{parent} = t.node
           WHERE ({include}) AND NOT array_contains(t.path, c.{node})
         )
-        SELECT * FROM t
+        SELECT * FROM t LIMIT ALL
         """
     )
 
