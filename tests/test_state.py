@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark import catalogue
 from tidemark.operators import project
 from tidemark.operators.modules import ModuleSpace
 from tidemark.plans.view import collection
@@ -140,3 +141,38 @@ def test_streamed_batches_replace_themselves(spark, small, tmp_path):
     live.log_stream(source, path, f"file://{tmp_path}/ck")
     assert spark.read.parquet(path).count() == spark.read.parquet(f"{small}/events.parquet").count()
     assert spark.read.parquet(path).select(F.countDistinct("event_id")).first()[0] == spark.read.parquet(path).count()
+
+
+def _spread(spark, tmp_path) -> list[tuple]:
+    """A folder ``events.parquet`` whose files hold the events of every user out of order; (user, id, value) as they count."""
+    r = random.Random(7)
+    rows = [(i, r.choice([None, *range(8)]), None if i == 17 else float(r.randint(1, 60))) for i in range(900)]
+    shuffled = r.sample(rows, len(rows))
+    df = spark.createDataFrame(shuffled, "event_id long, user_id long, value double").selectExpr("event_id", "timestamp_ntz '2024-01-01' AS ts", "user_id", "'view' AS event_type", "value")
+    df.repartition(3).write.parquet(f"file://{tmp_path}/in/events.parquet")
+    return [(u, i, x) for i, u, x in rows]
+
+
+def test_balances_count_in_order_over_arrow_batches_and_files(spark, tmp_path):
+    events = _spread(spark, tmp_path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {tuple(r) for r in catalogue.QUERIES["stream_stateful_balance"](spark, f"file://{tmp_path}/in").select("user_id", "admitted", "rejected").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(None, 0, 0)}
+    for user in range(8):
+        spent, admitted, rejected, own = 0.0, 0, 0, [x for u, _, x in events if u == user]
+        for x in own:
+            if x is not None and spent + x <= 500:
+                spent, admitted = spent + x, admitted + 1
+            elif x is not None:
+                rejected += 1
+        want.add((user, None, None) if None in own else (user, admitted, rejected))
+    assert got == want
+
+
+@pytest.mark.parametrize("name, counted, expected", [("stream_delta_available_now", "sum(n)", 900), ("stream_tumbling", "sum(n)", 900), ("stream_dedup_opid", "count(*)", 9)])
+def test_streams_read_folders(spark, tmp_path, name, counted, expected):
+    _spread(spark, tmp_path)
+    assert catalogue.QUERIES[name](spark, f"file://{tmp_path}/in").selectExpr(counted).first()[0] == expected

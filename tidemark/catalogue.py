@@ -1022,7 +1022,7 @@ def _stream(spark, d, name, **options):
     reader = spark.readStream.schema(schema)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return reader.parquet(f"{d}/{name}.parque[t]")  # a file or a folder; without a pattern a stream takes only folders
 
 
 def _scratch(spark, name) -> str:
